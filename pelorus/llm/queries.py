@@ -5,17 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pelorus.llm import bpe, licenses, media
-from pelorus.llm.common import read
+from pelorus.llm import bpe, langid, licenses, media, mixing, secrets, toxicity
+from pelorus.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(RANKS), decoded=True))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.text_media(read(spark, sf_dir, "documents")))
 
@@ -24,6 +34,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_media, op6_licenses)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_toxicity, op5_media, op6_licenses, op9_mixing, op10_langid)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
