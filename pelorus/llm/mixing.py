@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import Scratch, pick
+from pelorus.llm.common import BROADCAST_ROWS, Scratch, pick
 
 #: About so many rows of a bucket are ordered in one task.
 BUCKET_ROWS = 20_000
+#: The random offset of a source is tried in so many turns of 1/16; the one whose words come nearest to the target stays.
+TURNS = 16
 
 
 def word_count(col: str = "text") -> F.Column:
@@ -88,9 +90,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = lean.withColumn("at", F.row_number().over(within))
     placed = placed.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("slice") == F.col("l")))
     each = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
-    place = F.col("before") + F.col("at")
-    crossed = F.floor(F.col("start") + place * each) - F.floor(F.col("start") + (place - 1) * each)
-    out = placed.withColumn("copies", crossed.cast("long"))
+    placed = placed.select("id", "source", "size", "source_size", "target", *keep, (F.col("before") + F.col("at")).alias("place"), each.alias("each"), "start")
+    placed = scratch.save(placed)
+
+    def crossed(k) -> F.Column:
+        shift = F.col("start") + k / 16.0
+        shift = shift - F.floor(shift)
+        return (F.floor(shift + F.col("place") * F.col("each")) - F.floor(shift + (F.col("place") - 1) * F.col("each"))).cast("long")
+
+    tries = placed.groupBy("source").agg(F.max("target").alias("target"), *[F.sum(crossed(k) * F.col("size")).alias(f"t{k}") for k in range(TURNS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(TURNS)]))["k"]
+    turns = scratch.save(tries.select(F.col("source").alias("s"), best.alias("turn")))
+    few = turns.count() <= BROADCAST_ROWS
+    out = placed.join(F.broadcast(turns) if few else turns, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", crossed(F.col("turn")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(k).alias(c) for k, c in keep.items()])
 
 
@@ -115,11 +127,17 @@ goals AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce((SELECT level FROM common) * weight, cap)) END AS target FROM levels),
 placed AS (
   SELECT c.*, g.source_size, g.target,
-         row_number() OVER (PARTITION BY c.source ORDER BY c.class, c.size, c.mark, c.doc_id) AS at,
-         CAST(CAST('0x' || substr(md5(coalesce(c.source, '-')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS start,
+         row_number() OVER (PARTITION BY c.source ORDER BY c.class, c.size, c.mark, c.doc_id) AS place,
+         CAST(CAST('0x' || substr(md5(coalesce(c.source, '-')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift,
          CASE WHEN g.source_size = 0 THEN 0.0 ELSE g.target / g.source_size END AS each
-  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CAST(floor(start + at * each) - floor(start + (at - 1) * each) AS BIGINT) * size AS taken
-FROM placed
+  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
+turned AS (
+  SELECT p.*, t.turn, CAST(floor((shift + turn / 16.0::DOUBLE) - floor(shift + turn / 16.0::DOUBLE) + place * each)
+              - floor((shift + turn / 16.0::DOUBLE) - floor(shift + turn / 16.0::DOUBLE) + (place - 1) * each) AS BIGINT) * size AS taken
+  FROM placed p, (SELECT unnest(range(16)) AS turn) t),
+best AS (
+  SELECT source, turn FROM (SELECT source, turn, SUM(taken) AS words, MAX(target) AS target FROM turned GROUP BY source, turn)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - target), turn) = 1)
+SELECT doc_id, size, source_size, target, taken
+FROM turned t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.turn = b.turn
 """

@@ -51,7 +51,8 @@ def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     camel = F.array_join(F.transform(chosen, lambda w: F.initcap(w)), "")
     plain = F.when(F.col("id") % 5 == 0, F.array_join(chosen, "_")).when(F.col("id") % 5 == 1, F.array_join(chosen, "-")).when(F.col("id") % 5 == 2, camel).when(F.col("id") % 5 == 3, F.array_join(chosen, "/")).otherwise(F.array_join(chosen, ""))
     plain = F.when(F.col("id") % 7 == 0, F.concat(plain, (F.col("id") % 100).cast("string"))).otherwise(plain)
-    return ids.select(strong.alias("sample"), F.lit(True).alias("random")).union(ids.select(plain.alias("sample"), F.lit(False).alias("random")))
+    both = ids.select(strong.alias("sample"), F.lit(True).alias("random")).union(ids.select(plain.alias("sample"), F.lit(False).alias("random")))
+    return both.repartition(2)  # else the expressions above move into the loops over each string's characters
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words in lower case; of a word said several times in a row, one."""
+    return [w for w, _ in groupby(_WORD.findall(text.lower()))]
 
 
 def grams(word: str) -> list[int]:
@@ -45,7 +47,7 @@ def grams(word: str) -> list[int]:
 class Trainer:
     """Embeddings and softmax under Adam."""
 
-    def __init__(self, texts: list[str], labels: list[int], width: int = 8, seed: int = 1, floor: float = 0.3):
+    def __init__(self, texts: list[str], labels: list[int], width: int = 8, seed: int = 1, floor: float = 0.05):
         rng = np.random.default_rng(seed)
         vocab: dict[str, int] = {}
         self.docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t in texts]
@@ -127,7 +129,7 @@ class Trainer:
         way = self.soft[:, 1] - self.soft[:, 0]
         self.emb += (odds[:, None] * way / (way @ way)).astype(np.float32)
 
-    def fit(self, rounds: int = 40, spare: int = 3, rate: float = 0.02, prior: float = 3.0) -> None:
+    def fit(self, rounds: int = 20, spare: int = 3, rate: float = 0.01, prior: float = 1.0) -> None:
         """From a start by counts, on each text's worst stretch as the model
         sees it at the time, and on ``spare`` random stretches of each harmless text."""
         full = [i for i, d in enumerate(self.docs) if len(d)]
