@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pelorus.llm import bpe, jaccard, langid, licenses, media, mixing, secrets, toxicity
+from pelorus.llm import bpe, jaccard, langid, licenses, lines, media, mixing, secrets, toxicity
 from pelorus.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(lines.dedup(read(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +51,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_toxicity, op5_media, op6_licenses, op7_jaccard, op9_mixing, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_toxicity, op5_media, op6_licenses, op7_jaccard, op8_lines, op9_mixing, op10_langid)}
 
 SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
