@@ -88,6 +88,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - _ceil(num * n, den) + 1
 
 
+def shared_need(n: int) -> int:
+    """How many tokens two linked sets are made to share: prefixes are longer by one less."""
+    return 1 if n <= 32 else 1 + n // 16
+
+
 def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> int:
     """The size up to which enumerating subsets costs no more than scanning lists
     of ``list_length`` for a set's prefix, counted over all sets of each size."""
@@ -151,11 +156,11 @@ class Join:
     def _postings(self, docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
         n, num, den = self.n, self.num, self.den
         shared = self.spark.sparkContext.broadcast(heavy)  # at most HEAVY_TOKENS
-        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType())]
+        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType())]
 
         def prefix(s: np.ndarray) -> np.ndarray:
             tokens, count = shared.value
-            p = prefix_size(len(s), num, den)
+            p = prefix_size(len(s), num, den) + shared_need(len(s)) - 1
             if not len(tokens):
                 return s[:p]
             at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
@@ -176,39 +181,34 @@ class Join:
                     own.append(np.concatenate(got))
                 many = [len(x) for x in own]
                 ids = pa.array([r[0] for r in rows]).take(pa.array(np.repeat(np.arange(len(rows)), many)))
-                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many))], names=[f.name for f in fields])
-
-        return docs.mapInArrow(run, T.StructType(fields))
-
-    def _sets(self, docs: DataFrame) -> DataFrame:
-        n = self.n
-        fields = [T.StructField("node", self.kind), T.StructField("tokens", T.BinaryType())]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _WordHash()
-            for rows in chunks(batches, 2_000_000):
-                sets = shingle_sets([t for _, t in rows], n, words)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                sizes = np.array([len(s) for s in sets], np.int32)
+                needs = np.array([shared_need(len(s)) for s in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(sizes, many)), pa.array(np.repeat(needs, many))], names=[f.name for f in fields])
 
         return docs.mapInArrow(run, T.StructType(fields))
 
     def _verify(self, docs: DataFrame):
-        num, den = self.num, self.den
+        n, num, den, scratch = self.n, self.num, self.den, self.scratch
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, last, held = _WordHash(), None, None
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column("x"), batch.column("y")):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
+                    x, y = x.as_py(), y.as_py()
+                    if x != last:
+                        last, held = x, shingle_sets([x], n, words)[0]
+                    other = shingle_sets([y], n, words)[0]
+                    both = len(np.intersect1d(held, other, assume_unique=True))
+                    keep.append(den * both >= num * (len(held) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
             ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            sets = self.scratch.save(self._sets(join_counted(docs, ids, "node", "left_semi")))
-            rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-            linked = rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema)
+            texts = scratch.save(join_counted(docs, ids, "node", "left_semi"))
+            rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+            linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
+            scratch.drop(texts)
             return linked
 
         return verify

@@ -160,7 +160,9 @@ class Dedup:
             texts = texts.select("node", F.get(F.split(F.col("text").cast("string"), "\n", -1), F.col("line")).alias("said"))
             texts = scratch.save(texts.groupBy("node").agg(F.first("said").alias("said")))
             rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("said").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
-            return rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema)
+            linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
+            scratch.drop(texts, where)
+            return linked
 
         return verify
 
@@ -169,7 +171,7 @@ class Dedup:
         s = self.scratch
         lines = s.save(self._lines())
         classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line")).alias("first")))
-        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"))
+        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"), F.lit(1).alias("need"))
         shared = shared_postings(postings, s)
         comps = link(shared, self._verify(classes), 0, 1, s)
         s.drop(shared)

@@ -20,49 +20,62 @@ def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
 
 
 def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings ``(token, node, size)`` whose token has several nodes, with ``pivot`` and ``far``, the token's least and greatest node."""
+    """Postings ``(token, node, size, need)`` whose token has several nodes, of
+    nodes that have ``need`` such tokens, with ``lo`` and ``hi``, the token's
+    least and greatest node.  ``need`` is how many tokens a node shares with any
+    node that it may be linked to (or that node's own, lower need)."""
     every = Window.partitionBy("token")
-    kept = postings.withColumn("pivot", F.min("node").over(every)).withColumn("far", F.max("node").over(every)).where("pivot <> far")
-    return scratch.save(kept)
+    spread = [F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")]
+    first = scratch.save(postings.select("token", "node", "size", "need", *spread).where("lo <> hi").drop("lo", "hi"))
+    able = first.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node")
+    kept = scratch.save(join_counted(first, able, "node", "left_semi").select("token", "node", "size", "need", *spread).where("lo <> hi"))
+    scratch.drop(first)
+    return kept
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Components ``(node, root)`` of all verified links among nodes that share a token.
+    """Components ``(node, root)`` of all verified links among nodes that share tokens.
 
-    First each node is compared with one pivot of its tokens, so that a group of
+    First each node is compared with the pivot that it shares most tokens with
+    (each token proposes its least, then its greatest node), so that a group of
     near copies falls together in a number of pairs linear in its size.  Then
-    all pairs that share a token, have sizes within ``num / den`` of each other
-    and lie in different components so far are verified; pairs in one component
-    already can add nothing to the components.  ``verify`` takes distinct pairs
-    ``(a, b)``, ``a < b``, and returns those that are linked.
+    all pairs that share as many tokens as they need, have sizes within ``num /
+    den`` of each other and lie in different components so far are verified;
+    pairs in one component already can add nothing to the components.
+    ``verify`` takes distinct pairs ``(a, b)``, ``a < b``, and returns those that
+    are linked, as a saved table.
     """
-    edges = None
-    grouped = shared.select("token", "node", "size", "pivot", "far", F.col("node").alias("comp"))
-    for pivot in ("pivot", "far"):
-        star = grouped.where(F.col("node") != F.col(pivot)).where("not settled" if "settled" in grouped.columns else "true")
-        star = star.groupBy("node").agg(F.min(pivot).alias("p") if pivot == "pivot" else F.max(pivot).alias("p"))
-        found = scratch.save(verify(scratch.save(star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())))
+    open_, edges = shared.withColumn("comp", F.col("node")), None
+    for pivot in ("lo", "hi"):
+        votes = open_.where(F.col("node") != F.col(pivot)).groupBy("node", F.col(pivot).alias("p")).agg(F.count("*").alias("n"))
+        star = votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        star = scratch.save(star)
+        found = verify(star)
         edges = found if edges is None else edges.union(found)
         comps = components(edges, scratch)
-        grouped = scratch.save(_unsettled(shared, comps))
-        if grouped.isEmpty():
+        last, open_ = open_, scratch.save(_unsettled(open_, comps))
+        if hasattr(last, "_scratch_path") and last is not shared:
+            scratch.drop(last)
+        scratch.drop(star)
+        if open_.isEmpty():
             return comps
-    pairs = _cross_pairs(grouped, num, den)
-    found = scratch.save(verify(scratch.save(pairs)))
+    pairs = scratch.save(_cross_pairs(open_, num, den))
+    found = verify(pairs)
+    scratch.drop(pairs, open_)
     return components(edges.union(found), scratch)
 
 
-def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Postings of tokens whose nodes lie in several components."""
-    known = shared.select("token", "node", "size", "pivot", "far").join(comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
+def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings of tokens whose nodes still lie in several components."""
+    known = postings.drop("comp").join(comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     known = known.withColumn("comp", F.coalesce("root", "node")).drop("k", "root")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo", "hi")
-    known = known.join(mixed, F.col("token") == F.col("t")).drop("t")
-    return known.withColumn("settled", (F.col("comp") == F.col("lo"))).drop("lo", "hi")
+    every = Window.partitionBy("token")
+    return known.withColumn("c1", F.min("comp").over(every)).withColumn("c2", F.max("comp").over(every)).where("c1 <> c2").drop("c1", "c2")
 
 
-def _cross_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
-    a = grouped.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
-    b = grouped.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
+def _cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
+    a = postings.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"), F.col("need").alias("na"))
+    b = postings.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), F.col("need").alias("nb"))
     near = (F.col("ca") < F.col("cb")) & (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
-    return a.join(b, (F.col("token") == F.col("t")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = a.join(b, (F.col("token") == F.col("t")) & near).groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.least("na", "nb")).alias("m")).where("n >= m")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
