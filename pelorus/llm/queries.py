@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pelorus.llm import bpe, jaccard, langid, licenses, lines, media, mixing, secrets, toxicity
+from pelorus.llm import bpe, embeddings, jaccard, langid, licenses, lines, media, mixing, secrets, toxicity
 from pelorus.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.text_media(read(spark, sf_dir, "documents")))
 
@@ -51,6 +55,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_toxicity, op5_media, op6_licenses, op7_jaccard, op8_lines, op9_mixing, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_toxicity, op4_embeddings, op5_media, op6_licenses, op7_jaccard, op8_lines, op9_mixing, op10_langid)}
 
 SQL: dict[str, str] = {"op9_mixing": mixing.SQL}

@@ -180,6 +180,19 @@ class Words(dict):
         return out
 
 
+class Judge:
+    """Score and worst stretch of UTF-8 texts."""
+
+    def __init__(self, value: np.ndarray, bias: float):
+        self.known, self.bias = Words(value), bias
+
+    def __call__(self, raw: bytes) -> tuple[float, int | None]:
+        words = words_of(decode(raw))
+        z, at = worst_stretch(np.fromiter(map(self.known.__getitem__, words), np.float64, len(words)))
+        p = float(1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40))))
+        return (p, at) if words else (min(p, 0.49), None)
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> list[tuple[bytes, int]]:
     """At most ``per_class`` labelled texts of each class, those with the least
     hash of their id among ids that are not held out.  Labels that are null or
@@ -217,16 +230,25 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id"
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("worst", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, bias = shared.value
-        known = Words(value)
+        judge = Judge(*shared.value)
         for rows in chunks(batches):
-            scores, places = [], []
-            for _, raw in rows:
-                words = words_of(decode(raw))
-                z, at = worst_stretch(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-                p = float(1 / (1 + np.exp(-np.clip(z + bias, -40, 40))))
-                scores.append(p if words else min(p, 0.49))
-                places.append(at if words else None)
+            scores, places = zip(*(judge(raw) for _, raw in rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(places, pa.int64())], names=["id", "score", "predicted", "worst"])
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_harmless(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns as they are, whose text is not predicted toxic."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(*shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array([judge(t or b"")[0] < 0.5 for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
