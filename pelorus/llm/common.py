@@ -9,9 +9,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sides of a join are broadcast only when their counted rows are at most this many (about 50 MB of keys).
 BROADCAST_ROWS = 1_000_000
@@ -127,13 +129,47 @@ class Scratch:
                 return
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+#: Edges up to so many (16 MB of pairs) are joined up in one task; more in distributed rounds.
+FEW_EDGES = 1_000_000
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number reachable from each of 0..n-1 by links (a, b)."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            return root
+        np.minimum.at(root, ra, rb)
+        np.minimum.at(root, rb, ra)
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def components(edges: DataFrame, scratch: Scratch, few: int = FEW_EDGES, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges ``(a, b)`` of any orderable type:
     one row ``(node, root)`` for each node that has an edge, ``root`` the smallest
-    node of its component.  Alternating large-star and small-star rounds, each a
-    grouped minimum (combined before the shuffle) and a join; no component is
-    ever gathered in one place.  Null ends and loops are ignored."""
-    e = scratch.save(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    node of its component.  Null ends and loops are ignored.
+
+    Counted edges of at most ``few`` go through one task's union-find, which
+    spares the rounds' shuffles; beyond that, large-star and small-star rounds
+    alternate, each a grouped minimum (combined before the shuffle) and a join,
+    and no component is ever gathered in one place."""
+    e = scratch.save(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")))
+    if e.count() <= few:
+        kind = e.schema["x"].dataType
+
+        def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+            if got:
+                x, y = (np.concatenate(c) for c in zip(*got))
+                names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                root = local_roots(at[: len(x)], at[len(x) :], len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
+
+        done = scratch.save(e.coalesce(1).mapInArrow(join_up, T.StructType([T.StructField("node", kind), T.StructField("root", kind)])))
+        scratch.drop(e)
+        return done
     mark = None
     for _ in range(most_rounds):
         both = e.select("x", "y").union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))

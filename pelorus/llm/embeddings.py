@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, components, id_hash, pick
+from pelorus.llm.common import Scratch, components, id_hash, local_roots, pick
 from pelorus.llm.linking import join_counted
 
 #: The rotation and the cells are fitted on at most so many vectors, those of the least hash of their id.
@@ -157,21 +157,19 @@ def _join_groups(plan: Plan, dim: int, kind: np.dtype, threshold: float, schema:
         links = np.zeros(len(h), np.int64)
         label = np.unique(ids, return_inverse=True)
         local, names = label[1], label[0]
-        root = np.arange(len(names))
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
         for i, j in match(plan, block, x[h], x[p], threshold) if len(h) and len(p) else ():
             other = ids[h[i]] != ids[p[j]]
             i, j = i[other], j[other]
             np.add.at(links, i, copies[p[j]])
-            a, b = local[h[i]], local[p[j]]
-            while len(a):
-                ra, rb = root[a], root[b]
-                if (ra == rb).all():
-                    break
-                np.minimum.at(root, ra, rb)
-                np.minimum.at(root, rb, ra)
-                root = root[root]
-        while (root != root[root]).any():
-            root = root[root]
+            # a few pairs at a time come down to a tree
+            root = local_roots(local[h[i]], local[p[j]], len(names))
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            ends.append((moved, root[moved]))
+        if ends:
+            root = local_roots(*(np.concatenate(e) for e in zip(*ends)), len(names))
+        else:
+            root = np.arange(len(names))
         moved = np.flatnonzero(root != np.arange(len(names)))
         own = np.flatnonzero(links)
         node = np.concatenate([ids[h[own]], names[moved]])

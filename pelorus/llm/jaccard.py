@@ -204,7 +204,7 @@ class Join:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
             texts = scratch.save(join_counted(docs, ids, "node", "left_semi"))
             rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
             linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
@@ -221,17 +221,17 @@ class Join:
         classes = whole.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
         several = s.save(classes.where("copies > 1").select("digest", "rep"))
         rows = s.save(join_counted(rows, several, "digest", "left").select("node", "size", F.coalesce("rep", "node").alias("rep")))
-        copies = rows.where("node <> rep").select("node").distinct()
+        copies = rows.where("node <> rep").select("node")
         docs = join_counted(self.docs.where("node is not null"), copies, "node", "left_anti")
         heavy = self._heavy(survey)
-        sizes = {r[0]: r[1] for r in whole.where(F.col("size") <= MOST_SMALL).groupBy("size").count().collect()}
-        total = whole.agg(F.sum("size")).first()[0] or 1
+        tally = whole.groupBy(F.least("size", F.lit(MOST_SMALL + 1)).alias("k")).agg(F.count("*").alias("n"), F.sum("size").alias("t")).collect()
+        sizes, total = {r[0]: r[1] for r in tally}, sum(r[2] for r in tally) or 1
         small = boundary(sizes, float((heavy[1].astype(float) ** 2).sum()) / total, self.num, self.den)
         s.drop(survey)
         shared = shared_postings(self._postings(docs, heavy, small), s)
         comps = link(shared, self._verify(docs), self.num, self.den, s)
         s.drop(shared)
-        out = rows.join(comps.withColumnRenamed("node", "k"), F.col("rep") == F.col("k"), "left")
+        out = join_counted(rows, comps.withColumnRenamed("node", "k"), F.col("rep") == F.col("k"), "left")
         return out.select("node", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 

@@ -154,11 +154,11 @@ class Dedup:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
             where = scratch.save(join_counted(classes, nodes, "node", "left_semi").select("node", "first.id", "first.line"))
             texts = join_counted(self.docs, where, "id", "inner")
             texts = texts.select("node", F.get(F.split(F.col("text").cast("string"), "\n", -1), F.col("line")).alias("said"))
-            texts = scratch.save(texts.groupBy("node").agg(F.first("said").alias("said")))
+            texts = scratch.save(texts.dropDuplicates(["node"]))  # rows of one id may repeat a text
             rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("said").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
             linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
             scratch.drop(texts, where)
@@ -175,7 +175,7 @@ class Dedup:
         shared = shared_postings(postings, s)
         comps = link(shared, self._verify(classes), 0, 1, s)
         s.drop(shared)
-        known = classes.join(comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("copies > 1 or root is not null")
+        known = join_counted(classes, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("copies > 1 or root is not null")
         known = s.save(known.select("node", F.coalesce("root", "node").alias("comp"), "first"))
         kept = known.groupBy("comp").agg(F.min("first").alias("keep")).select(F.col("comp").alias("c"), "keep")
         verdict = s.save(known.join(kept, F.col("comp") == F.col("c")).select("node", "keep"))

@@ -27,9 +27,9 @@ def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
     every = Window.partitionBy("token")
     spread = [F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")]
     first = scratch.save(postings.select("token", "node", "size", "need", *spread).where("lo <> hi").drop("lo", "hi"))
-    able = first.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node")
+    able = scratch.save(first.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node"))
     kept = scratch.save(join_counted(first, able, "node", "left_semi").select("token", "node", "size", "need", *spread).where("lo <> hi"))
-    scratch.drop(first)
+    scratch.drop(first, able)
     return kept
 
 
@@ -42,13 +42,14 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
     all pairs that share as many tokens as they need, have sizes within ``num /
     den`` of each other and lie in different components so far are verified;
     pairs in one component already can add nothing to the components.
-    ``verify`` takes distinct pairs ``(a, b)``, ``a < b``, and returns those that
+    ``verify`` takes pairs ``(a, b)``, ``a < b``, some of them twice, and returns those that
     are linked, as a saved table.
     """
     open_, edges = shared.withColumn("comp", F.col("node")), None
     for pivot in ("lo", "hi"):
-        votes = open_.where(F.col("node") != F.col(pivot)).groupBy("node", F.col(pivot).alias("p")).agg(F.count("*").alias("n"))
-        star = votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        dealt = open_.where(F.col("node") != F.col(pivot)).select("node", F.col(pivot).alias("p")).repartition("node")  # one exchange for both groupings
+        votes = dealt.groupBy("node", "p").agg(F.count("*").alias("n"))
+        star = votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         star = scratch.save(star)
         found = verify(star)
         edges = found if edges is None else edges.union(found)
@@ -67,7 +68,7 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
 
 def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings of tokens whose nodes still lie in several components."""
-    known = postings.drop("comp").join(comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
+    known = join_counted(postings.drop("comp"), comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     known = known.withColumn("comp", F.coalesce("root", "node")).drop("k", "root")
     every = Window.partitionBy("token")
     return known.withColumn("c1", F.min("comp").over(every)).withColumn("c2", F.max("comp").over(every)).where("c1 <> c2").drop("c1", "c2")
