@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pelorus.llm.common import BROADCAST_ROWS, Scratch, components
 
 
+#: Rounds in which only each node's best pair is verified, before all that are left.
+BEST_ROUNDS = 3
+
+
 def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
     """A join that broadcasts ``small`` only if its counted rows are few; else Spark shuffles, and splits skewed keys as it runs."""
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
@@ -61,17 +65,37 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
         if open_.isEmpty():
             return comps
     pairs = scratch.save(_cross_pairs(open_, num, den))
+    for _ in range(BEST_ROUNDS):
+        # each node's most promising partner first: groups grow together, and their other pairs need no verifying
+        ends = pairs.select(F.col("a").alias("node"), F.struct("n", "a", "b").alias("p")).union(pairs.select(F.col("b").alias("node"), F.struct("n", "a", "b").alias("p")))
+        best = scratch.save(ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
+        found = verify(best)
+        edges = edges.union(found)
+        comps = components(edges, scratch)
+        left, pairs = pairs, scratch.save(_apart(pairs.join(best, ["a", "b"], "left_anti"), comps))
+        scratch.drop(left, best)
+        if pairs.isEmpty():
+            return comps
     found = verify(pairs)
     scratch.drop(pairs, open_)
     return components(edges.union(found), scratch)
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    a = join_counted(pairs, comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    b = join_counted(a, comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return b.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "n")
+
+
 def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings of tokens whose nodes still lie in several components."""
     known = join_counted(postings.drop("comp"), comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     known = known.withColumn("comp", F.coalesce("root", "node")).drop("k", "root")
     every = Window.partitionBy("token")
-    return known.withColumn("c1", F.min("comp").over(every)).withColumn("c2", F.max("comp").over(every)).where("c1 <> c2").drop("c1", "c2")
+    mixed = known.withColumn("c1", F.min("comp").over(every)).withColumn("c2", F.max("comp").over(every)).where("c1 <> c2").drop("c1", "c2")
+    own = Window.partitionBy("node")  # a node has at most its own tokens; with too few left it can join nothing more
+    return mixed.withColumn("left", F.count("*").over(own)).where("left >= need").drop("left")
 
 
 def _cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -79,4 +103,4 @@ def _cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     b = postings.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), F.col("need").alias("nb"))
     near = (F.col("ca") < F.col("cb")) & (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
     both = a.join(b, (F.col("token") == F.col("t")) & near).groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.least("na", "nb")).alias("m")).where("n >= m")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
