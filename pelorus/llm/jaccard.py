@@ -182,7 +182,7 @@ class Join:
                 many = [len(x) for x in own]
                 ids = pa.array([r[0] for r in rows]).take(pa.array(np.repeat(np.arange(len(rows)), many)))
                 sizes = np.array([len(s) for s in sets], np.int32)
-                needs = np.array([shared_need(len(s)) for s in sets], np.int32)
+                needs = np.array([shared_need(_ceil(num * len(s), den)) for s in sets], np.int32)  # of the smallest partner
                 yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(sizes, many)), pa.array(np.repeat(needs, many))], names=[f.name for f in fields])
 
         return docs.mapInArrow(run, T.StructType(fields))

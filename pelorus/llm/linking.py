@@ -26,8 +26,8 @@ def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
 def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
     """Postings ``(token, node, size, need)`` whose token has several nodes, of
     nodes that have ``need`` such tokens, with ``lo`` and ``hi``, the token's
-    least and greatest node.  ``need`` is how many tokens a node shares with any
-    node that it may be linked to (or that node's own, lower need)."""
+    least and greatest node.  ``need`` is how many tokens a node shares, at
+    least, with any node that it may be linked to."""
     every = Window.partitionBy("token")
     spread = [F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")]
     first = scratch.save(postings.select("token", "node", "size", "need", *spread).where("lo <> hi").drop("lo", "hi"))
