@@ -82,17 +82,18 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def transducer(edges: list[dict[int, int]], width: int) -> np.ndarray:
-    """Flat table by state and symbol: the next state's row offset times 2, plus 1
-    where the phrase before the symbol ends.  A symbol that the start state does
-    not know is a phrase of its own."""
+    """Flat table by state and symbol: the next state's row offset times 4, plus
+    the phrases that end: the one before the symbol where no edge goes on, and the
+    symbol itself where the start state does not know it."""
     n = len(edges)
-    root = np.array([edges[0].get(c, 0) * width * 2 for c in range(width)], np.int32)
-    table = np.tile(root + 1, (n, 1)).astype(np.int32)
-    table[0] = [v * width * 2 + (c not in edges[0]) for c, v in ((c, edges[0].get(c, 0)) for c in range(width))]
+    root = np.array([edges[0].get(c, 0) * width * 4 for c in range(width)], np.int64)
+    new = np.array([c not in edges[0] for c in range(width)], np.int64)
+    table = np.tile(root + 1 + new, (n, 1))
+    table[0] = root + new
     states = np.fromiter((s for s, e in enumerate(edges) for _ in e), np.int64)
     chars = np.fromiter((c for e in edges for c in e), np.int64)
     ends = np.fromiter((t for e in edges for t in e.values()), np.int64)
-    table[states, chars] = ends * width * 2
+    table[states, chars] = ends * width * 4
     return table.ravel()
 
 
@@ -114,7 +115,8 @@ class Model:
             self.base.append(at)
             tables.append(one)
             at += len(one)
-        self.flat = np.concatenate([t + 2 * b for t, b in zip(tables, self.base)]) if tables else np.zeros(0, np.int32)
+        flat = np.concatenate([t + 4 * b for t, b in zip(tables, self.base)]) if tables else np.zeros(0, np.int64)
+        self.flat = flat.astype(np.int32) if 4 * len(flat) < 1 << 31 else flat
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and the number of letters of each text."""
@@ -138,13 +140,13 @@ class Model:
             grid[: len(sym)] = sym
             grid = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(grid, steps)[start].T)
             active = np.searchsorted(-length, -np.arange(steps), "left")  # lanes longer than the step
-            root = np.array(self.base, np.int32)[:, None]
+            root = np.array(self.base, self.flat.dtype)[:, None]
             state = np.repeat(root, len(owner), 1)
             for t in range(steps):
                 k = int(active[t])
                 v = self.flat[state[:, :k] + grid[t, :k]]
-                count[:, :k] += v & 1
-                state[:, :k] = v >> 1
+                count[:, :k] += v & 3
+                state[:, :k] = v >> 2
             count += state != root
         out = np.zeros((n_lang, len(texts)), np.int64)
         for i in range(n_lang):
