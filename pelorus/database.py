@@ -223,7 +223,7 @@ class Database:
                 checked = f"CASE WHEN ({checked}) IS NULL THEN CAST(raise_error('null value in column \"{c.name}\" violates not-null constraint (23502)') AS {c.type.spark}) ELSE {checked} END"
             out.append(f"{checked} AS `{c.name}`")
         done = self.spark.sql(f"SELECT {', '.join(out)} FROM _incoming")
-        rows = done.checkpoint() if self.spark.sparkContext.getCheckpointDir() else self.spark.createDataFrame(done.collect(), done.schema) if not self.storage else done
+        rows = session.checkpoint(done)  # evaluated once: defaults may be random
         for c in t.columns:
             if c.serial:
                 top = rows.agg(F.max(c.name)).first()[0]
@@ -309,7 +309,7 @@ class Database:
             cells = ", ".join(f"CASE WHEN coalesce({where}, false) THEN CAST({sets[c]} AS {old.schema[c].dataType.simpleString()}) ELSE `{c}` END AS `{c}`" if c in sets else f"`{c}`" for c in old.columns)
             changed = self._spark_sql(f"SELECT {cells}, coalesce({where}, false) AS _changed FROM _target AS {alias}", params)
         changed = changed.select(*old.columns, "_changed")
-        changed = changed.checkpoint() if self.spark.sparkContext.getCheckpointDir() else changed
+        changed = session.checkpoint(changed)
         touched = changed.where("_changed").drop("_changed")
         if t.constraints or any(c.type.args or self.catalog.labels(c.declared) for c in t.columns if c.name in sets):
             self._checked(t, touched, old.columns)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelorus.session import checkpoint
+
 
 def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
     """``WITH RECURSIVE ... UNION``: rows are added until a round brings none that
     are new.  Each round's new rows are checkpointed, which cuts the lineage."""
-    every = new = seed.distinct().checkpoint()
+    every = new = checkpoint(seed.distinct())
     for _ in range(most_rounds):
-        new = step(new).distinct().exceptAll(every).checkpoint()
+        new = checkpoint(step(new).distinct().exceptAll(every))
         if new.isEmpty():
             return every
         every = every.unionByName(new)

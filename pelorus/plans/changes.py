@@ -50,7 +50,6 @@ add("cursor_fetch", "DECLARE c CURSOR FOR SELECT n_nationkey FROM nation ORDER B
 
 def _recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations reachable by shared regions, with set semantics."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/pelorus-checkpoints"))
     nation = scan(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     seed = nation.where("n_nationkey = 0").select("n_nationkey")
     step = lambda new: new.join(nation, "n_nationkey").join(nation.select(F.col("n_nationkey").alias("k"), "n_regionkey"), "n_regionkey").select(F.col("k").alias("n_nationkey"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set on a running session; what only a new session can take is left to whoever builds it.
 SETTINGS = {
@@ -25,3 +27,15 @@ def build(app: str = "pelorus", master: str | None = None, **conf: str) -> Spark
     if master:
         builder = builder.master(master)
     return configure(builder.config(map=conf).getOrCreate())
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a
+    local session without the setting, as in tests, gets a temporary one."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="pelorus-"))
+    return df.checkpoint()
