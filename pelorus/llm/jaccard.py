@@ -156,7 +156,7 @@ class Join:
     def _postings(self, docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
         n, num, den = self.n, self.num, self.den
         shared = self.spark.sparkContext.broadcast(heavy)  # at most HEAVY_TOKENS
-        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType())]
+        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("pos", T.IntegerType())]
 
         def prefix(s: np.ndarray) -> np.ndarray:
             tokens, count = shared.value
@@ -171,19 +171,21 @@ class Join:
             words = _WordHash()
             for rows in chunks(batches, 2_000_000):
                 sets = shingle_sets([t for _, t in rows], n, words)
-                own = []
+                own, places = [], [np.zeros(0, np.int32)]
                 for s in sets:
                     got = [np.zeros(0, np.uint64)]
                     if 0 < len(s) <= small:
                         got.append(subset_tokens(s, num, den))
+                        places.append(np.zeros(len(got[-1]), np.int32))
                     if len(s) > small or (len(s) and len(s) * den >= (small + 1) * num):
                         got.append(prefix(s))
+                        places.append(np.arange(len(got[-1]), dtype=np.int32))
                     own.append(np.concatenate(got))
                 many = [len(x) for x in own]
                 ids = pa.array([r[0] for r in rows]).take(pa.array(np.repeat(np.arange(len(rows)), many)))
                 sizes = np.array([len(s) for s in sets], np.int32)
                 needs = np.array([shared_need(_ceil(num * len(s), den)) for s in sets], np.int32)  # of the smallest partner
-                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(sizes, many)), pa.array(np.repeat(needs, many))], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(sizes, many)), pa.array(np.repeat(needs, many)), pa.array(np.concatenate(places))], names=[f.name for f in fields])
 
         return docs.mapInArrow(run, T.StructType(fields))
 

@@ -171,7 +171,7 @@ class Dedup:
         s = self.scratch
         lines = s.save(self._lines())
         classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line")).alias("first")))
-        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"), F.lit(1).alias("need"))
+        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("pos"))
         shared = shared_postings(postings, s)
         comps = link(shared, self._verify(classes), 0, 1, s)
         s.drop(shared)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pelorus.llm.common import BROADCAST_ROWS, Scratch, components
 
 
-#: Rounds in which only each node's best pair is verified, before all that are left.
-BEST_ROUNDS = 3
+#: Rounds of one comparison a node, before all pairs that are left.
+STAR_ROUNDS = 3
 
 
 def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
@@ -24,15 +24,16 @@ def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
 
 
 def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings ``(token, node, size, need)`` whose token has several nodes, of
-    nodes that have ``need`` such tokens, with ``lo`` and ``hi``, the token's
-    least and greatest node.  ``need`` is how many tokens a node shares, at
-    least, with any node that it may be linked to."""
+    """Postings ``(token, node, size, need, pos)`` whose token has several nodes,
+    of nodes that have ``need`` such tokens.  ``need`` is how many tokens a node
+    shares, at least, with any node that it may be linked to; ``pos`` is the
+    token's place in the node's order, from 0."""
     every = Window.partitionBy("token")
     spread = [F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")]
-    first = scratch.save(postings.select("token", "node", "size", "need", *spread).where("lo <> hi").drop("lo", "hi"))
+    columns = ["token", "node", "size", "need", "pos"]
+    first = scratch.save(postings.select(*columns, *spread).where("lo <> hi").select(*columns))
     able = scratch.save(first.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node"))
-    kept = scratch.save(join_counted(first, able, "node", "left_semi").select("token", "node", "size", "need", *spread).where("lo <> hi"))
+    kept = scratch.save(join_counted(first, able, "node", "left_semi").select(*columns, *spread).where("lo <> hi").select(*columns))
     scratch.drop(first, able)
     return kept
 
@@ -40,18 +41,21 @@ def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
     """Components ``(node, root)`` of all verified links among nodes that share tokens.
 
-    First each node is compared with the pivot that it shares most tokens with
-    (each token proposes its least, then its greatest node), so that a group of
-    near copies falls together in a number of pairs linear in its size.  Then
-    all pairs that share as many tokens as they need, have sizes within ``num /
-    den`` of each other and lie in different components so far are verified;
-    pairs in one component already can add nothing to the components.
-    ``verify`` takes pairs ``(a, b)``, ``a < b``, some of them twice, and returns those that
-    are linked, as a saved table.
+    First, in a few rounds, each node is compared with one node of another
+    component, that which most of its tokens propose (each token proposes its
+    first node, or to that one's component its last), so that groups of near
+    copies fall together in a number of pairs linear in their size.  Then all
+    pairs that lie in different components and share a token early enough in both
+    orders are verified; pairs in one component already can add nothing to the
+    components.  ``verify`` takes pairs ``(a, b)``, ``a < b``, some of them
+    twice, and returns those that are linked, as a saved table.
     """
     open_, edges = shared.withColumn("comp", F.col("node")), None
-    for pivot in ("lo", "hi"):
-        dealt = open_.where(F.col("node") != F.col(pivot)).select("node", F.col(pivot).alias("p")).repartition("node")  # one exchange for both groupings
+    every = Window.partitionBy("token")
+    for _ in range(STAR_ROUNDS):
+        here = F.struct("comp", "node")
+        spread = open_.select("node", "comp", F.min(here).over(every).alias("lo"), F.max(here).over(every).alias("hi"))
+        dealt = spread.select("node", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("p")).where("node <> p").repartition("node")  # one exchange for both groupings
         votes = dealt.groupBy("node", "p").agg(F.count("*").alias("n"))
         star = votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         star = scratch.save(star)
@@ -59,35 +63,17 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
         edges = found if edges is None else edges.union(found)
         comps = components(edges, scratch)
         last, open_ = open_, scratch.save(_unsettled(open_, comps))
-        if hasattr(last, "_scratch_path") and last is not shared:
+        if hasattr(last, "_scratch_path"):
             scratch.drop(last)
         scratch.drop(star)
         if open_.isEmpty():
             return comps
     pairs = scratch.save(_cross_pairs(open_, num, den))
-    for _ in range(BEST_ROUNDS):
-        # each node's most promising partner first: groups grow together, and their other pairs need no verifying
-        ends = pairs.select(F.col("a").alias("node"), F.struct("n", "a", "b").alias("p")).union(pairs.select(F.col("b").alias("node"), F.struct("n", "a", "b").alias("p")))
-        best = scratch.save(ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct())
-        found = verify(best)
-        edges = edges.union(found)
-        comps = components(edges, scratch)
-        left, pairs = pairs, scratch.save(_apart(pairs.join(best, ["a", "b"], "left_anti"), comps))
-        scratch.drop(left, best)
-        if pairs.isEmpty():
-            return comps
     found = verify(pairs)
     scratch.drop(pairs, open_)
     return components(edges.union(found), scratch)
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    a = join_counted(pairs, comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    b = join_counted(a, comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return b.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "n")
-
-
 def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings of tokens whose nodes still lie in several components."""
     known = join_counted(postings.drop("comp"), comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
@@ -99,8 +85,11 @@ def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    a = postings.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"), F.col("need").alias("na"))
-    b = postings.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), F.col("need").alias("nb"))
-    near = (F.col("ca") < F.col("cb")) & (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
-    both = a.join(b, (F.col("token") == F.col("t")) & near).groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.least("na", "nb")).alias("m")).where("n >= m")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
+    """Pairs of different components with a common token among the first ``size -
+    overlap + 1`` of both, ``overlap`` being what sets of these sizes must share."""
+    a = postings.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
+    b = postings.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
+    overlap = F.expr(f"(CAST(sa + sb AS BIGINT) * {num} + {num + den - 1}) div {num + den}")
+    near = (F.col("ca") < F.col("cb")) & (F.col("pa") <= F.col("sa") - overlap) & (F.col("pb") <= F.col("sb") - overlap)
+    both = a.join(b, (F.col("token") == F.col("t")) & near).select("a", "b").distinct()
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
