@@ -193,9 +193,9 @@ class Judge:
         return (p, at) if words else (min(p, 0.49), None)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> list[tuple[bytes, int]]:
-    """At most ``per_class`` labelled texts of each class, those with the least
-    hash of their id among ids that are not held out.  Labels that are null or
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> DataFrame:
+    """``text`` (bytes) and ``y``: at most ``per_class`` labelled texts of each
+    class, those with the least hash of their id among ids that are not held out.  Labels that are null or
     neither 0 nor 1, and labels without a document, are passed over."""
     marks = pick(labels, id="doc_id", y=label_col).where(~held_out("id") & F.col("y").isin(0, 1))
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -205,19 +205,26 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.union(part)
     assert 2 * per_class <= BROADCAST_ROWS
     texts = pick(docs, id=id_col, text=text_col).select("id", text_bytes().alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").select("text", "y", id_hash("id", "toxicity").alias("h")).collect()
-    return sorted({(bytes(r[0]), r[1]) for r in got})
+    return texts.join(F.broadcast(chosen), "id").select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, float]:
-    """Learns from :func:`sample`; of one class only, or of nothing, every score is 0.5 or less."""
-    got = sample(docs, labels, **names)
-    t = Trainer([decode(x) for x, _ in got], [y for _, y in got])
-    t.fit()
-    value, bias = t.model()
-    if len({y for _, y in got}) < 2:
-        value, bias = value * 0, -1.0
-    return value, bias
+    """Learns from :func:`sample`, in one task, which returns one number for each
+    n-gram and the bias; of one class only, or of nothing, every score is 0.5 or
+    less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({(row[0], row[1]) for rows in chunks(batches) for row in rows})
+        if len({y for _, y in got}) == 2:
+            t = Trainer([decode(x) for x, _ in got], [y for _, y in got])
+            t.fit()
+            value, bias = t.model()
+            yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["value", "bias"])
+
+    learned = sample(docs, labels, **names).repartition(1).mapInArrow(run, "value binary, bias double").collect()
+    if not learned:
+        return np.zeros(BUCKETS), -1.0
+    return np.frombuffer(bytes(learned[0][0]), np.float64), learned[0][1]
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
