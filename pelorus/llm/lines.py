@@ -23,6 +23,8 @@ from pelorus.llm.linking import join_counted, link, shared_postings
 SHINGLE, BANDS, ROWS = 8, 10, 4
 #: Lines of up to LONG shingles have signatures of as many hash functions as rows; lines of SHORT and more have one-permutation signatures.  Between them both, so that any two lines of similar length share a family.
 SHORT, LONG = 192, 240
+#: So many shingles, the most common among the lines in question, are ordered last.  The order changes costs, never results.
+COMMON = 1 << 19
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _A = (np.random.default_rng(7).integers(1, 2**32, BANDS * ROWS, np.uint64) | _U(1)).astype(np.uint32)
@@ -137,8 +139,53 @@ class Dedup:
 
         return self.docs.mapInArrow(run, T.StructType(fields))
 
+    def _texts(self, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``(node, said)``: the nodes' lines, each read again where it first stands."""
+        where = self.scratch.save(join_counted(classes, nodes.select("node"), "node", "left_semi").select("node", "first.id", "first.line"))
+        texts = join_counted(self.docs, where, "id", "inner")
+        texts = texts.select("node", F.get(F.split(F.col("text").cast("string"), "\n", -1), F.col("line")).alias("said"))
+        return self.scratch.save(texts.dropDuplicates(["node"]))  # rows of one id may repeat a text
+
+    def _refine(self, classes: DataFrame):
+        """Postings of the shingles that a partner cannot miss, common ones last:
+        what edits brought in comes first, and rules out most of the lines that
+        share a band without being similar enough."""
+        num, den, scratch = self.num, self.den, self.scratch
+        fields = [T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("pos", T.IntegerType())]
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for said in batch.column("said"):
+                    yield pa.RecordBatch.from_arrays([pa.array(line_set(said.as_py()).view(np.int64))], names=["token"])
+
+        def refine(nodes: DataFrame) -> DataFrame:
+            texts = self._texts(classes, nodes)
+            counts = texts.select("said").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+            got = counts.orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
+            known, count = got["token"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64)
+            order = np.argsort(known)
+            shared = self.spark.sparkContext.broadcast((known[order], count[order]))
+
+            def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known, count = shared.value
+                for batch in batches:
+                    for node, said in zip(batch.column("node"), batch.column("said")):
+                        s = line_set(said.as_py())
+                        level = np.zeros(len(s), np.int64)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                            level = np.where(known[at] == s, count[at], 0)
+                        p = len(s) + (num * len(s)) // -den + 1
+                        own = s[np.argsort(level, kind="stable")[:p]]
+                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(p, node.as_py(), np.int64)), pa.array(np.full(p, len(s), np.int32)), pa.array(np.ones(p, np.int32)), pa.array(np.arange(p, dtype=np.int32))], names=[f.name for f in fields])
+
+            made = scratch.save(texts.mapInArrow(postings, T.StructType(fields)))
+            return join_counted(made, nodes, "node", "inner")
+
+        return refine
+
     def _verify(self, classes: DataFrame):
-        """Compares the lines of pairs of nodes, each read again where it first stands."""
+        """Compares the lines of pairs of nodes."""
         num, den, scratch = self.num, self.den, self.scratch
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +201,10 @@ class Dedup:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-            where = scratch.save(join_counted(classes, nodes, "node", "left_semi").select("node", "first.id", "first.line"))
-            texts = join_counted(self.docs, where, "id", "inner")
-            texts = texts.select("node", F.get(F.split(F.col("text").cast("string"), "\n", -1), F.col("line")).alias("said"))
-            texts = scratch.save(texts.dropDuplicates(["node"]))  # rows of one id may repeat a text
+            texts = self._texts(classes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
             rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("said").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
             linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
-            scratch.drop(texts, where)
+            scratch.drop(texts)
             return linked
 
         return verify
@@ -173,7 +216,7 @@ class Dedup:
         classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line")).alias("first")))
         postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("pos"))
         shared = shared_postings(postings, s)
-        comps = link(shared, self._verify(classes), 0, 1, s)
+        comps = link(shared, self._verify(classes), self.num, self.den, s, self._refine(classes))
         s.drop(shared)
         known = join_counted(classes, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("copies > 1 or root is not null")
         known = s.save(known.select("node", F.coalesce("root", "node").alias("comp"), "first"))

@@ -38,7 +38,7 @@ def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
     return kept
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components ``(node, root)`` of all verified links among nodes that share tokens.
 
     First, in a few rounds, each node is compared with one node of another
@@ -48,7 +48,9 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
     pairs that lie in different components and share a token early enough in both
     orders are verified; pairs in one component already can add nothing to the
     components.  ``verify`` takes pairs ``(a, b)``, ``a < b``, some of them
-    twice, and returns those that are linked, as a saved table.
+    twice, and returns those that are linked, as a saved table.  ``refine``, for
+    postings whose order says nothing, takes the nodes ``(node, comp)`` that are
+    left and returns postings of theirs in an order, with ``comp``.
     """
     open_, edges = shared.withColumn("comp", F.col("node")), None
     every = Window.partitionBy("token")
@@ -68,9 +70,11 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int,
         scratch.drop(star)
         if open_.isEmpty():
             return comps
+    if refine:
+        open_ = refine(scratch.save(open_.select("node", "comp").distinct()))
     pairs = scratch.save(_cross_pairs(open_, num, den))
     found = verify(pairs)
-    scratch.drop(pairs, open_)
+    scratch.drop(pairs)
     return components(edges.union(found), scratch)
 
 
