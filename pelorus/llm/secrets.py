@@ -26,7 +26,7 @@ BASE = [
 #: Strings that the models judge.
 CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-# Words that ordinary identifiers are made of.
+# Words that ordinary identifiers are made of, from the whole alphabet.
 WORDS = """
 account action active address agent alert alias amount answer archive array article asset audio author average
 backup balance batch before binary block board border branch bridge browser buffer build button cache calendar
@@ -34,22 +34,45 @@ callback camera cancel capture category center change channel chart check child
 column command comment common company config connection console content context control convert counter country
 create current customer data database date default delete delivery device dialog digest directory display document
 domain download driver editor element email employee enable engine entry error event example execute export
+factor failure feature fetch field figure file filter final first fixture flag float folder font footer force format
+forward frame free frequency front function future gallery gateway general generate global grade grant graph grid group
+guard guest guide half hand handle hardware hash header health height hello help hidden high history holder home host
+hour hook icon identity image import index info input insert instance integer invoice issue item iterator january job
+join journal json jump junior just keep kernel key keyboard kind knowledge known label language large last latency layer
+layout leader left length level library license limit line link list local location lock login logger lookup loop
+machine mail main manager map margin market master match matrix maximum member memory menu merge message method metric
+minimum mode model module monitor month mount move name native network next node normal notify number object offset
+online open operator option order origin output owner package page panel parent parse partner path pattern payment
+people permission phone pixel player plugin point policy popup port position power prefix previous price print priority
+private process product profile project property protocol provider proxy public purchase push quality quantity quarter
+query question queue quick quiet quota quote random range rate reader record redirect reference refresh region register
+release remote render report request reset resource response result return review right role root route rule runtime
+sample scale schedule schema scope score screen script search section select sequence server service session setting
+shape share signal size slot sort source space stack start state status step stop storage stream string style subject
+submit summary support switch symbol sync system tab table tag target task team template tenant terminal test text
+theme thread threshold time timeout title toggle tool topic total trace track transfer transform tree trigger type unit
+unknown update upload usage user utility vacuum valid value variable vector vendor verify version vertex video view
+virtual visible volume voucher wait walk warehouse warning watch weather web week weight widget width window wizard word
+worker workflow wrapper write writer xaxis xml yaml year yellow yield young zero zip zone zoom
 """.split()
 
 
 def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     """Labelled strings made by rule: ``sample``, ``random`` (boolean).  ``n``
-    random ones (parts of digests in hex, base 64 and upper case base 36) and
-    ``n`` identifiers (two to four words in snake, kebab, camel or path case,
-    some with a short number)."""
+    random ones (parts of digests in hex of either case, base 64 of either kind and
+    base 36 of either case) and
+    ``n`` identifiers (two to four words in snake, kebab, camel or path case or as
+    upper-case constants, some with a short number)."""
     ids = spark.range(n).select("id", F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")).cast("binary"), 256).alias("hex"))
     b64 = F.regexp_replace(F.base64(F.unhex("hex")), "[=\\r\\n]", "")
-    strong = F.when(F.col("id") % 3 == 0, F.substring("hex", 1, 40)).when(F.col("id") % 3 == 1, b64).otherwise(F.substring(F.upper(b64), 1, 24))
+    kinds = [F.substring("hex", 1, 40), b64, F.substring(F.upper(b64), 1, 24), F.substring(F.lower(b64), 1, 24), F.substring(F.upper("hex"), 1, 40), F.translate(b64, "+/", "-_")]
+    strong = F.get(F.array(*kinds), F.pmod("id", F.lit(len(kinds))).cast("int"))
     words = F.array(*[F.lit(w) for w in WORDS])
     pick_word = lambda k: F.get(words, F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(WORDS))).cast("int"))
     chosen = F.slice(F.array(*[pick_word(k) for k in range(4)]), F.lit(1), (F.lit(2) + F.col("id") % 3).cast("int"))
     camel = F.array_join(F.transform(chosen, lambda w: F.initcap(w)), "")
     plain = F.when(F.col("id") % 5 == 0, F.array_join(chosen, "_")).when(F.col("id") % 5 == 1, F.array_join(chosen, "-")).when(F.col("id") % 5 == 2, camel).when(F.col("id") % 5 == 3, F.array_join(chosen, "/")).otherwise(F.array_join(chosen, ""))
+    plain = F.when(F.col("id") % 10 == 5, F.upper(plain)).otherwise(plain)  # half of those in snake case
     plain = F.when(F.col("id") % 7 == 0, F.concat(plain, (F.col("id") % 100).cast("string"))).otherwise(plain)
     both = ids.select(strong.alias("sample"), F.lit(True).alias("random")).union(ids.select(plain.alias("sample"), F.lit(False).alias("random")))
     return both.repartition(2)  # else the expressions above move into the loops over each string's characters
