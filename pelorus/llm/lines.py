@@ -21,7 +21,7 @@ from pelorus.llm.linking import join_counted, link, shared_postings
 
 #: Characters of a shingle; bands and rows: at similarity 0.8 a pair shares a band in 995 of 1,000 cases.
 SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Lines of up to LONG shingles have signatures of as many hash functions as rows; lines of SHORT and more have one-permutation signatures.  Between them both, so that any two lines of similar length share a family.
+#: Lines of up to LONG distinct shingles have signatures of as many hash functions as rows; lines of SHORT and more have one-permutation signatures.  Between them both: at similarity 0.8 the smaller set is at least 0.8 of the larger, so that two similar lines share a family.
 SHORT, LONG = 192, 240
 #: So many shingles, the most common among the lines in question, are ordered last.  The order changes costs, never results.
 COMMON = 1 << 19
@@ -86,6 +86,14 @@ def one_permutation(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _distinct(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each line, one after another, and how many each has."""
+    flat = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    both = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << _U(32)) | h[flat])
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]  # np.unique takes many times as long
+    return both.astype(np.uint32), np.bincount((both >> _U(32)).astype(np.int64), minlength=len(size))
+
+
 def signatures(texts: list[str]) -> list[tuple[int, int, int, np.ndarray | None]]:
     """For each line that is not blank: its text's place, its number, its 64-bit
     digest, and its band hashes, or none if it is shorter than a shingle or stood
@@ -107,6 +115,11 @@ def signatures(texts: list[str]) -> list[tuple[int, int, int, np.ndarray | None]
     if fresh:
         h = (shingle_hashes(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)) >> _U(32)).astype(np.uint32)
         start, size = np.array(spans).T
+        long = np.flatnonzero(size >= SHORT)  # a line that repeats itself has fewer shingles than places for them
+        if len(long):
+            sets, own = _distinct(h, start[long], size[long])
+            start[long], size[long] = len(h) + np.cumsum(own) - own, own
+            h = np.concatenate([h, sets])
         for family, chosen, make in ((0, size <= LONG, classic), (1, size >= SHORT, one_permutation)):
             rows = np.flatnonzero(chosen)
             if not len(rows):

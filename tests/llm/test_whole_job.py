@@ -3,10 +3,11 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.llm import secrets
+from pelorus.llm import lines, secrets
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 
@@ -38,3 +39,30 @@ def test_identifiers_of_other_words_are_left_alone(docs, pairs):
     rng = random.Random(12)
     names = ["_".join(rng.choice(words) for _ in range(4)) + "_25" for _ in range(400)]
     assert found(docs, names, pairs) < 0.02 and found(docs, [n.upper() for n in names], pairs) < 0.1
+
+
+# lines
+
+
+def test_similar_lines_of_different_lengths(docs):
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choice(LOWER + "   ") for _ in range(n))
+    once = make(150)
+    groups = [["-" * 100, "-" * 300, "-" * 5000], [once, once + once], ["junk" * 20, "junk" * 900], ["ab" * 90, "ab" * 130]]
+    for n in (193, 215, 240, 400):
+        body = make(n)
+        groups.append([body, body * 3, body + body[: n // 2]])
+    for group in groups:  # what is promised
+        a = lines.line_set(group[0])
+        assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in map(lines.line_set, group[1:]))
+    rows = [(i, line) for i, line in enumerate(line for g in groups for line in g)]
+    got = {(r.doc_id, r.line) for r in lines.repeated_lines(docs(rows)).collect()}
+    first = [sum(map(len, groups[:k])) for k in range(len(groups))]
+    assert got == {(i, 0) for i, _ in rows} - {(i, 0) for i in first}
+
+
+def test_signatures_are_those_of_the_set():
+    rng = random.Random(14)
+    body = "".join(rng.choice(LOWER) for _ in range(230))
+    for text, families in ((body, 2), (body * 2 + body[:7], 2), ("ab" * 400, 1), ("".join(rng.choice(LOWER) for _ in range(500)), 1)):
+        assert len(lines.signatures([text])[0][3]) == families * lines.BANDS
