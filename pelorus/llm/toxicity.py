@@ -25,18 +25,27 @@ from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash
 BUCKETS = 1 << 16
 #: Words of a stretch.
 STRETCH = 8
+#: Longer words are taken in pieces of so many characters, which overlap.
+LONGEST, PIECE, OVERLAP = 120, 12, 4
 _WORD = re.compile(r"\w+")
 
 
+def pieces(word: str) -> list[str]:
+    """A word of up to LONGEST characters as it is; a longer one, such as text
+    without spaces, in pieces of PIECE characters that overlap by OVERLAP, so
+    that each n-gram is within one of them."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[i : i + PIECE] for i in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
+
+
 def words_of(text: str) -> list[str]:
-    """Words in lower case; of a word said several times in a row, one."""
-    return [w for w, _ in groupby(_WORD.findall(text.lower()))]
+    """Words in lower case, long ones in pieces; of a word said several times in a row, one."""
+    return [w for w, _ in groupby(p for w in _WORD.findall(text.lower()) for p in pieces(w))]
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams of 3 to 5 characters, and of the whole; only the first and last 60 characters of longer words."""
-    if len(word) > 120:
-        word = word[:60] + word[-60:]
+    """Buckets of the word's n-grams of 3 to 5 characters, and of the whole."""
     w = f"<{word}>".encode("utf-8", "surrogatepass") if word.isascii() else f"<{word}>"
     out = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)] + [w]
     if isinstance(w, str):
@@ -229,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, float]
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1), ``predicted`` (1 where the score is 0.5 or
-    more) and ``worst`` (the word at which the worst stretch begins, from 0).
+    more) and ``worst`` (the word at which the worst stretch begins, from 0; each
+    piece of a long word counts as one).
     Null, empty and wordless texts get the score of the bias alone, at most
     0.49; repeated rows are kept; an empty table gives an empty table."""
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.llm import lines, secrets
+from pelorus.llm import lines, secrets, toxicity
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 
@@ -66,3 +66,28 @@ def test_signatures_are_those_of_the_set():
     body = "".join(rng.choice(LOWER) for _ in range(230))
     for text, families in ((body, 2), (body * 2 + body[:7], 2), ("ab" * 400, 1), ("".join(rng.choice(LOWER) for _ in range(500)), 1)):
         assert len(lines.signatures([text])[0][3]) == families * lines.BANDS
+
+
+# toxicity
+
+
+def test_pieces_hold_every_gram():
+    rng = random.Random(15)
+    for n in (1, 120, 121, 127, 128, 129, 133, 1000):
+        word = "".join(rng.choice(LOWER) for _ in range(n))
+        whole = {word[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1)}
+        assert whole == {p[i : i + k] for p in toxicity.pieces(word) for k in (3, 4, 5) for i in range(len(p) - k + 1)}
+
+
+def test_toxic_middle_of_text_without_spaces(spark, docs):
+    rng = random.Random(16)
+    calm, rude = ["stone", "river", "green", "table", "paper", "cloud", "window", "garden"], ["vilegrub", "nastoid", "grubvile"]
+    text = lambda bad, n: " ".join(rng.choice(rude) if bad and k % 9 == 3 else rng.choice(calm) + rng.choice(calm) for k in range(n))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs([(i, text(i % 4 == 0, 60)) for i in range(400)]), labels)
+    around = ["".join(rng.choice(calm) for _ in range(60)) for _ in range(2)]
+    middle = "".join(rng.choice(rude) for _ in range(6))
+    rows = [(0, around[0] + around[1]), (1, around[0] + middle + around[1]), (2, "_".join([around[0], *[middle] * 2, around[1]]))]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(rows), model).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+    assert [r.doc_id for r in toxicity.keep_harmless(docs(rows), model).collect()] == [0]
