@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 
 from pelorus.llm.common import chunks, decode, held_out, id_hash, pick, text_bytes
 
-#: Symbols: no letter, a letter outside the alphabet, then the alphabet.
+#: Symbols: no letter, a letter that no sample holds, then the alphabet.
 GAP, RARE = 0, 1
+#: So many of the commonest letters are one symbol each; each other one is a lead and as many digits, to this base, as tell them all apart.
+FEW, BASE = 60, 16
 #: Texts are parsed in stretches of so many characters, each from the start state.
 STRETCH = 1024
 
@@ -37,13 +39,16 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def alphabet_of(texts: list[str], most: int = 60) -> list[str]:
+def alphabet_of(texts: list[str]) -> list[str]:
+    """All letters of the texts: the FEW commonest in order, then the others."""
     seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    return sorted(sorted(seen, key=lambda c: (-seen[c], c))[:most])
+    ranked = sorted(seen, key=lambda c: (-seen[c], c))
+    return sorted(ranked[:FEW]) + ranked[FEW:]
 
 
-def symbol_table(alphabet: list[str]) -> np.ndarray:
-    table = _letters().copy()
+def place_table(alphabet: list[str]) -> np.ndarray:
+    """Code points to GAP, RARE or the letter's place in the alphabet and 2."""
+    table = _letters().astype(np.int32)
     for i, c in enumerate(alphabet):
         for form in {c, c.upper(), c.title()}:
             if len(form) == 1:
@@ -51,6 +56,26 @@ def symbol_table(alphabet: list[str]) -> np.ndarray:
     return table
 
 
+def width_of(letters: int) -> int:
+    """Number of symbols for an alphabet of so many letters."""
+    return letters + 2 if letters <= FEW else FEW + 2 + 2 * BASE
+
+
+def symbols_of(places: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of places of an alphabet of so many letters, and how many each place has."""
+    digits = 1
+    while BASE ** (digits + 1) < letters - FEW:
+        digits += 1
+    far = np.flatnonzero(places >= FEW + 2)
+    count = np.ones(len(places), np.int64)
+    count[far] += digits
+    out = np.repeat(places, count)
+    at, rest = (np.cumsum(count) - count)[far], places[far] - FEW - 2
+    for k in range(digits + 1):
+        out[at + k] = FEW + 2 + (BASE if k else 0) + rest // BASE ** (digits - k) % BASE
+    return out.astype(np.uint8), count
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Edges of the automaton of all substrings, state 0 first."""
     edges: list[dict[int, int]] = [{}]
@@ -103,15 +128,15 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], chars: int):
         self.languages = sorted(samples)
         self.alphabet = alphabet_of([t for x in samples.values() for t in x])
-        self.width = len(self.alphabet) + 2
-        table = symbol_table(self.alphabet)
+        self.width = width_of(len(self.alphabet))
+        table = place_table(self.alphabet)
         tables, self.base, at = [], [], 0
         for lang in self.languages:
             run: list[int] = []
             share = max(200, chars // max(1, len(samples[lang])))
             for t in samples[lang]:
                 run += table[_points(t[:share])].tolist() + [GAP]
-            one = transducer(suffix_automaton(run[:chars]), self.width)
+            one = transducer(suffix_automaton(symbols_of(np.array(run[:chars], np.int32), len(self.alphabet))[0].tolist()), self.width)
             self.base.append(at)
             tables.append(one)
             at += len(one)
@@ -121,10 +146,13 @@ class Model:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and the number of letters of each text."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        sym = _table_of(tuple(self.alphabet))[_points("".join(texts))]
+        places = _table_of(tuple(self.alphabet))[_points("".join(texts))]
         ends = np.cumsum(sizes)
-        total = np.concatenate([[0], np.cumsum(sym > GAP)])
+        total = np.concatenate([[0], np.cumsum(places > GAP)])
         letters = total[ends] - total[ends - sizes]
+        sym, count = symbols_of(places, len(self.alphabet))
+        total = np.concatenate([[0], np.cumsum(count)])
+        sizes, ends = total[ends] - total[ends - sizes], total[ends]
         lanes = (sizes + STRETCH - 1) // STRETCH
         owner = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -156,14 +184,15 @@ class Model:
 
 @lru_cache(2)
 def _table_of(alphabet: tuple[str, ...]) -> np.ndarray:
-    return symbol_table(list(alphabet))
+    return place_table(list(alphabet))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, chars: int = 30_000) -> Model:
     """Learns from a bounded sample: about ``per_language`` documents of each
     language, drawn by a hash of the id from those that are not held out, and at
     most ``chars`` characters of them.  Null texts and labels are passed over;
-    texts without letters teach only gaps; without labels no language is known."""
+    texts without letters teach only gaps; without labels no language is known.
+    All letters of the sampled texts are told apart, in whatever scripts."""
     rows = pick(df, id=id_col, text=text_col, lang=lang_col).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     there = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not there:

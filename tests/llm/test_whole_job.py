@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.llm import lines, secrets, toxicity
+from pelorus.llm import langid, lines, secrets, toxicity
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 
@@ -91,3 +91,25 @@ def test_toxic_middle_of_text_without_spaces(spark, docs):
     got = {r.doc_id: r.predicted for r in toxicity.score(docs(rows), model).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
     assert [r.doc_id for r in toxicity.keep_harmless(docs(rows), model).collect()] == [0]
+
+
+# languages
+
+
+def test_letters_of_many_scripts(docs):
+    rng = random.Random(17)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    words = {k: [rng.choice(letters) + rng.choice(letters) for _ in range(60)] for k in ("aa", "bb", "cc")}
+    words |= {"el": "και το να του της με για στην είναι που από".split(), "ru": "и в не на что как по это она так его".split(), "en": "the of and to in is that for it was".split()}
+    make = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(i, make(lang), lang) for i in range(180) for lang in [sorted(words)[i % 6]]]
+    model = langid.fit(docs(rows))
+    assert set(letters) & set("".join(words["aa"])) <= set(model.alphabet) and len(model.alphabet) > 250
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs(rows), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_every_letter_has_its_own_symbols():
+    for n in (10, 60, 61, 76, 315, 316, 317, 5000):
+        got = [tuple(langid.symbols_of(np.array([p], np.int32), n)[0].tolist()) for p in range(n + 2)]
+        assert len(set(got)) == n + 2 and max(map(max, got)) < langid.width_of(n)
