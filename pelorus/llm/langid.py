@@ -10,6 +10,7 @@ side by side with one table look-up for each character and language.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -122,6 +123,17 @@ def transducer(edges: list[dict[int, int]], width: int) -> np.ndarray:
     return table.ravel()
 
 
+def stretches(text: str, share: int, parts: int = 4) -> list[str]:
+    """A text of up to ``share`` characters; of a longer one as many in all, a
+    stretch from each of ``parts`` equal sections, its place drawn by a hash."""
+    if len(text) <= share:
+        return [text]
+    section, size = len(text) // parts, share // parts - 1  # a gap goes with each
+    seed = text.encode("utf-8", "surrogatepass")
+    starts = [k * section + zlib.crc32(b"%d" % k, zlib.crc32(seed)) % max(1, section - size + 1) for k in range(parts)]
+    return [text[a : a + size] for a in starts]
+
+
 class Model:
     """``languages`` in order, the symbol table and the joined transducer tables."""
 
@@ -135,7 +147,8 @@ class Model:
             run: list[int] = []
             share = max(200, chars // max(1, len(samples[lang])))
             for t in samples[lang]:
-                run += table[_points(t[:share])].tolist() + [GAP]
+                for part in stretches(t, share):
+                    run += table[_points(part)].tolist() + [GAP]
             one = transducer(suffix_automaton(symbols_of(np.array(run[:chars], np.int32), len(self.alphabet))[0].tolist()), self.width)
             self.base.append(at)
             tables.append(one)
@@ -190,7 +203,7 @@ def _table_of(alphabet: tuple[str, ...]) -> np.ndarray:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, chars: int = 30_000) -> Model:
     """Learns from a bounded sample: about ``per_language`` documents of each
     language, drawn by a hash of the id from those that are not held out, and at
-    most ``chars`` characters of them.  Null texts and labels are passed over;
+    most ``chars`` characters of them, in stretches from all over each text.  Null texts and labels are passed over;
     texts without letters teach only gaps; without labels no language is known.
     All letters of the sampled texts are told apart, in whatever scripts."""
     rows = pick(df, id=id_col, text=text_col, lang=lang_col).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())

@@ -113,3 +113,22 @@ def test_every_letter_has_its_own_symbols():
     for n in (10, 60, 61, 76, 315, 316, 317, 5000):
         got = [tuple(langid.symbols_of(np.array([p], np.int32), n)[0].tolist()) for p in range(n + 2)]
         assert len(set(got)) == n + 2 and max(map(max, got)) < langid.width_of(n)
+
+
+def test_shared_openings_do_not_hide_the_rest(docs):
+    rng = random.Random(18)
+    sound = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "err", "ung"], "cc": ["tro", "veb", "siq"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(sound[lang]) for _ in range(3)) for _ in range(n))
+    opening = "all rights are reserved by the owners of this page " * 20
+    rows = [(i, opening + make(lang, 900), lang) for i in range(180) for lang in [sorted(sound)[i % 3]]]
+    model = langid.fit(docs(rows))
+    new = [(1000 + i, make(lang, 30), lang) for i in range(60) for lang in [sorted(sound)[i % 3]]]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs(new), model).collect()}
+    assert [got[i] for i, _, lang in new] == [lang for _, _, lang in new]
+
+
+def test_stretches_come_from_every_quarter():
+    text = "".join(chr(0x4E00 + i) for i in range(4001))
+    got = langid.stretches(text, 468)
+    assert [(ord(p[0]) - 0x4E00) // 1000 for p in got] == [0, 1, 2, 3] and sum(map(len, got)) + 4 == 468
+    assert langid.stretches("short", 468) == ["short"] and len(langid.stretches(text[:470], 468)) == 4
