@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Sides of a join are broadcast only when their counted rows are at most this many (about 50 MB of keys).
-BROADCAST_ROWS = 1_000_000
+#: Sides of a join are broadcast only when they are counted at up to so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,30 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return flat.select(*out)
 
 
+def _width(col: F.Column, kind: T.DataType) -> F.Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(col[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(col, F.lit(8).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(8))
+        return 8 * F.greatest(F.size(col), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df``, counted and measured, may be broadcast."""
+    rows, held = df.agg(F.count("*"), F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8)).cast("long"))).first()
+    return rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
+
+
+def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
+    """A join that broadcasts ``small`` only if it is counted and measured as small; else Spark shuffles, and splits skewed keys as it runs."""
+    return big.join(F.broadcast(small) if is_small(small) else small, on, how)
+
+
 def text_bytes(col: str = "text") -> F.Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
@@ -105,12 +129,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes saved tables, and lets Spark free the shuffle files of plans that are no longer referenced."""
+        """Deletes saved tables."""
         for t in tables:
             self._delete(self.spark, t._scratch_path)
-        self.free()
 
     def free(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are no longer referenced."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

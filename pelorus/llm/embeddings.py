@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, components, id_hash, local_roots, pick
-from pelorus.llm.linking import join_counted
+from pelorus.llm.common import Scratch, components, id_hash, join_counted, local_roots, pick
 
 #: The rotation and the cells are fitted on at most so many vectors, those of the least hash of their id.
 SAMPLE = 4096

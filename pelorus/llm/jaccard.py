@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, chunks, pick, text_bytes
-from pelorus.llm.linking import join_counted, link, shared_postings
+from pelorus.llm.common import Scratch, chunks, components, join_counted, pick, text_bytes
+from pelorus.llm.linking import link, sketches
 
 #: Small sets are never larger than this, whatever the costs.
 MOST_SMALL = 24
@@ -108,25 +108,32 @@ def _i64(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+
+
 class Join:
     """The join of one table; ``n`` words a shingle, links at ``den * overlap >= num * union``."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int):
         self.n, self.num, self.den = n, num, den
         self.scratch = Scratch(df.sparkSession)
-        self.docs = pick(df, node=id_col, text=text_col).select("node", text_bytes().alias("text"))
+        self.docs = pick(df, node=id_col, text=text_col).select("node", F.xxhash64("text").alias("h"), text_bytes().alias("text"))  # rows are told by id and text
         self.kind = self.docs.schema["node"].dataType
         self.spark = df.sparkSession
 
     def _survey(self) -> DataFrame:
         """For each row (part 0) its set's size and digest; for each chunk (part 1) the shingles of several of its distinct sets, with counts."""
         n = self.n
-        fields = [T.StructField("part", T.IntegerType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+        fields = [T.StructField("part", T.IntegerType()), T.StructField("node", self.kind), T.StructField("h", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _WordHash()
             for rows in chunks(batches, 6_000_000):
-                sets = shingle_sets([t for _, t in rows], n, words)
+                sets = shingle_sets([r[2] for r in rows], n, words)
                 digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
                 one = list({d: s for d, s in zip(digests, sets) if d}.values())
                 tokens, count = np.unique(np.concatenate(one), return_counts=True) if one else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -135,6 +142,7 @@ class Join:
                 cols = [
                     pa.array([0] * k + [1], pa.int32()),
                     pa.concat_arrays([a := pa.array([r[0] for r in rows]), pa.nulls(1, a.type)]),
+                    pa.array([r[1] for r in rows] + [None], pa.int64()),
                     pa.array([len(s) for s in sets] + [None], pa.int32()),
                     pa.array(digests + [None], pa.binary()),
                     pa.array([None] * k + [tokens[often].view(np.int64)], pa.list_(pa.int64())),
@@ -156,7 +164,7 @@ class Join:
     def _postings(self, docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
         n, num, den = self.n, self.num, self.den
         shared = self.spark.sparkContext.broadcast(heavy)  # at most HEAVY_TOKENS
-        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("pos", T.IntegerType())]
+        fields = [T.StructField("token", T.LongType()), T.StructField("node", self.kind), T.StructField("need", T.IntegerType()), T.StructField("pos", T.IntegerType())]
 
         def prefix(s: np.ndarray) -> np.ndarray:
             tokens, count = shared.value
@@ -170,7 +178,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _WordHash()
             for rows in chunks(batches, 2_000_000):
-                sets = shingle_sets([t for _, t in rows], n, words)
+                sets = shingle_sets([r[2] for r in rows], n, words)
                 own, places = [], [np.zeros(0, np.int32)]
                 for s in sets:
                     got = [np.zeros(0, np.uint64)]
@@ -183,12 +191,33 @@ class Join:
                     own.append(np.concatenate(got))
                 many = [len(x) for x in own]
                 ids = pa.array([r[0] for r in rows]).take(pa.array(np.repeat(np.arange(len(rows)), many)))
-                sizes = np.array([len(s) for s in sets], np.int32)
                 needs = np.array([shared_need(_ceil(num * len(s), den)) for s in sets], np.int32)  # of the smallest partner
-                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(sizes, many)), pa.array(np.repeat(needs, many)), pa.array(np.concatenate(places))], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(needs, many)), pa.array(np.concatenate(places))], names=[f.name for f in fields])
 
         return docs.mapInArrow(run, T.StructType(fields))
 
+    def _sketches(self, docs: DataFrame):
+        """Sketches of the sets of given nodes; a node of several texts has several."""
+        n, kind = self.n, self.kind
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = _WordHash()
+            ids = None
+
+            def sets():
+                nonlocal ids
+                for batch in batches:
+                    ids = batch.schema.field("node").type
+                    for node, raw in zip(batch.column("node"), batch.column("text")):
+                        s = shingle_sets([raw.as_py()], n, words)[0]
+                        if len(s):
+                            yield node.as_py(), s
+
+            yield from sketches(sets(), lambda: ids)
+
+        schema = T.StructType([T.StructField("node", kind), T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+        return lambda nodes: join_counted(docs, nodes, "node", "left_semi").select("node", "text").mapInArrow(run, schema)
+
     def _verify(self, docs: DataFrame):
         n, num, den, scratch = self.n, self.num, self.den, self.scratch
 
@@ -201,13 +230,12 @@ class Join:
                     if x != last:
                         last, held = x, shingle_sets([x], n, words)[0]
                     other = shingle_sets([y], n, words)[0]
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    keep.append(den * both >= num * (len(held) + len(other) - both))
+                    keep.append(den * (both := overlap(held, other)) >= num * (len(held) + len(other) - both) > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-            texts = scratch.save(join_counted(docs, ids, "node", "left_semi"))
+            ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            texts = scratch.save(join_counted(docs.select("node", "text"), ids, "node", "left_semi"))
             rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
             linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
             scratch.drop(texts)
@@ -218,21 +246,26 @@ class Join:
     def run(self) -> DataFrame:
         s = self.scratch
         survey = s.save(self._survey())
-        rows = survey.where("part = 0").select("node", "size", "digest")
+        rows = survey.where("part = 0").select("node", "h", "size", "digest")
         whole = rows.where("digest is not null and node is not null")
         classes = whole.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
         several = s.save(classes.where("copies > 1").select("digest", "rep"))
-        rows = s.save(join_counted(rows, several, "digest", "left").select("node", "size", F.coalesce("rep", "node").alias("rep")))
-        copies = rows.where("node <> rep").select("node")
-        docs = join_counted(self.docs.where("node is not null"), copies, "node", "left_anti")
+        rows = s.save(join_counted(rows, several, "digest", "left").select("node", "h", "size", F.coalesce("rep", "node").alias("rep")))
+        copies = rows.where("node <> rep").select("node", "h").distinct()
+        docs = join_counted(self.docs.where("node is not null"), copies, ["node", "h"], "left_anti")
         heavy = self._heavy(survey)
         tally = whole.groupBy(F.least("size", F.lit(MOST_SMALL + 1)).alias("k")).agg(F.count("*").alias("n"), F.sum("size").alias("t")).collect()
         sizes, total = {r[0]: r[1] for r in tally}, sum(r[2] for r in tally) or 1
         small = boundary(sizes, float((heavy[1].astype(float) ** 2).sum()) / total, self.num, self.den)
         s.drop(survey)
-        shared = shared_postings(self._postings(docs, heavy, small), s)
-        comps = link(shared, self._verify(docs), self.num, self.den, s)
-        s.drop(shared)
+        postings = s.save(self._postings(docs, heavy, small))
+        comps = link(postings, self._verify(docs), self._sketches(docs), self.num, self.den, s)
+        s.drop(postings)
+        # an id that stands in several classes joins them
+        ids = s.save(rows.where("node is not null").groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("node"))
+        if not ids.isEmpty():
+            across = join_counted(rows.where("node <> rep"), ids, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+            comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across), s)
         out = join_counted(rows, comps.withColumnRenamed("node", "k"), F.col("rep") == F.col("k"), "left")
         return out.select("node", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
@@ -253,6 +286,6 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``df`` with one document of each component: that of the smallest id (null ids and repeated rows of a kept id stay)."""
-    gone = join(df, id_col, text_col, n, num, den).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = Scratch(df.sparkSession).save(gone)
-    return join_counted(df, gone, df[id_col] == F.col("_gone"), "left_anti")
+    gone = join(df, id_col, text_col, n, num, den).toDF("gone", "size", "keep").where("gone <> keep").select("gone").distinct()
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return join_counted(flat, Scratch(df.sparkSession).save(gone), F.col(f"_{df.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*df.columns)

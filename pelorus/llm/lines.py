@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, chunks, decode, pick, text_bytes
-from pelorus.llm.linking import join_counted, link, shared_postings
+from pelorus.llm.common import Scratch, chunks, decode, join_counted, pick, text_bytes
+from pelorus.llm.linking import link, sketches
 
 #: Characters of a shingle; bands and rows: at similarity 0.8 a pair shares a band in 995 of 1,000 cases.
 SHINGLE, BANDS, ROWS = 8, 10, 4
 #: Lines of up to LONG distinct shingles have signatures of as many hash functions as rows; lines of SHORT and more have one-permutation signatures.  Between them both: at similarity 0.8 the smaller set is at least 0.8 of the larger, so that two similar lines share a family.
 SHORT, LONG = 192, 240
-#: So many shingles, the most common among the lines in question, are ordered last.  The order changes costs, never results.
-COMMON = 1 << 19
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _A = (np.random.default_rng(7).integers(1, 2**32, BANDS * ROWS, np.uint64) | _U(1)).astype(np.uint32)
@@ -133,147 +131,154 @@ def signatures(texts: list[str]) -> list[tuple[int, int, int, np.ndarray | None]
 
 
 class Dedup:
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, num: int, den: int):
-        self.spark, self.num, self.den = df.sparkSession, num, den
+    """``docs`` has ``id``, ``h`` (hash of the text; rows are told by id and text) and ``text``."""
+
+    def __init__(self, docs: DataFrame, num: int, den: int):
+        self.spark, self.num, self.den = docs.sparkSession, num, den
         self.scratch = Scratch(self.spark)
-        self.docs = pick(df, id=id_col, text=text_col).select("id", text_bytes().alias("text")).where("id is not null")
+        self.docs = docs.where("id is not null")
         self.kind = self.docs.schema["id"].dataType
+        self.texts: DataFrame | None = None
 
     def _lines(self) -> DataFrame:
-        fields = [T.StructField("id", self.kind), T.StructField("line", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        fields = [T.StructField("id", self.kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in chunks(batches, 3_000_000):
-                got = signatures([decode(t) for _, t in rows])
-                ids = pa.array([r[0] for r in rows]).take(pa.array([g[0] for g in got], pa.int64()))
+                got = signatures([decode(r[2]) for r in rows])
+                place = pa.array([g[0] for g in got], pa.int64())
+                ids, hashes = pa.array([r[0] for r in rows]).take(place), pa.array([r[1] for r in rows], pa.int64()).take(place)
                 nodes = np.array([g[2] for g in got], np.uint64).view(np.int64)
                 bands = pa.array([None if g[3] is None else g[3].view(np.int64) for g in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([g[1] for g in got], pa.int32()), pa.array(nodes), bands], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([g[1] for g in got], pa.int32()), pa.array(nodes), bands], names=[f.name for f in fields])
 
         return self.docs.mapInArrow(run, T.StructType(fields))
 
-    def _texts(self, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-        """``(node, said)``: the nodes' lines, each read again where it first stands."""
-        where = self.scratch.save(join_counted(classes, nodes.select("node"), "node", "left_semi").select("node", "first.id", "first.line"))
-        texts = join_counted(self.docs, where, "id", "inner")
-        texts = texts.select("node", F.get(F.split(F.col("text").cast("string"), "\n", -1), F.col("line")).alias("said"))
-        return self.scratch.save(texts.dropDuplicates(["node"]))  # rows of one id may repeat a text
-
-    def _refine(self, classes: DataFrame):
-        """Postings of the shingles that a partner cannot miss, common ones last:
-        what edits brought in comes first, and rules out most of the lines that
-        share a band without being similar enough."""
-        num, den, scratch = self.num, self.den, self.scratch
-        fields = [T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("pos", T.IntegerType())]
-
-        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _read(self, classes: DataFrame):
+        """Saves ``(node, said)`` of given nodes, each read again where it first stands; a text is split once for all its lines."""
+
+        def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for said in batch.column("said"):
-                    yield pa.RecordBatch.from_arrays([pa.array(line_set(said.as_py()).view(np.int64))], names=["token"])
-
-        def refine(nodes: DataFrame) -> DataFrame:
-            texts = self._texts(classes, nodes)
-            counts = texts.select("said").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-            got = counts.orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
-            known, count = got["token"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64)
-            order = np.argsort(known)
-            shared = self.spark.sparkContext.broadcast((known[order], count[order]))
-
-            def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                known, count = shared.value
-                for batch in batches:
-                    for node, said in zip(batch.column("node"), batch.column("said")):
-                        s = line_set(said.as_py())
-                        level = np.zeros(len(s), np.int64)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                            level = np.where(known[at] == s, count[at], 0)
-                        p = len(s) + (num * len(s)) // -den + 1
-                        own = s[np.argsort(level, kind="stable")[:p]]
-                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(p, node.as_py(), np.int64)), pa.array(np.full(p, len(s), np.int32)), pa.array(np.ones(p, np.int32)), pa.array(np.arange(p, dtype=np.int32))], names=[f.name for f in fields])
-
-            made = scratch.save(texts.mapInArrow(postings, T.StructType(fields)))
-            return join_counted(made, nodes, "node", "inner")
-
-        return refine
-
-    def _verify(self, classes: DataFrame):
+                for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                    parts, wanted = decode(text.as_py()).split("\n"), wanted.as_py()
+                    out = [parts[w["line"]].encode("utf-8", "surrogatepass") for w in wanted]
+                    yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wanted], pa.int64()), pa.array(out, pa.binary())], names=["node", "said"])
+
+        def read(nodes: DataFrame) -> None:
+            first = join_counted(classes.select("node", "first"), nodes, "node", "left_semi")
+            wanted = self.scratch.save(first.groupBy("first.id", "first.h").agg(F.collect_list(F.struct("node", "first.line")).alias("wanted")))
+            once = self.docs.dropDuplicates(["id", "h"]) if self._repeats() else self.docs
+            found = join_counted(once, wanted, ["id", "h"], "inner").select("text", "wanted")
+            self.texts = self.scratch.save(found.mapInArrow(said, "node long, said binary"))
+            self.scratch.drop(wanted)
+
+        return read
+
+    def _repeats(self) -> bool:
+        """Whether some row is there several times."""
+        return not self.docs.groupBy("id", "h").count().where("count > 1").isEmpty()
+
+    def _sketches(self, nodes: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = ((node.as_py(), line_set(decode(said.as_py()))) for batch in batches for node, said in zip(batch.column("node"), batch.column("said")))
+            yield from sketches(sets, pa.int64)
+
+        return join_counted(self.texts, nodes, "node", "left_semi").mapInArrow(run, "node long, size int, sketch binary")
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
         """Compares the lines of pairs of nodes."""
-        num, den, scratch = self.num, self.den, self.scratch
+        num, den = self.num, self.den
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, held = None, None
             for batch in batches:
-                keep, last, held = [], None, None
+                keep = []
                 for x, y in zip(batch.column("x"), batch.column("y")):
                     x, y = x.as_py(), y.as_py()
                     if x != last:
-                        last, held = x, line_set(x)
-                    other = line_set(y)
-                    both = len(np.intersect1d(held, other, assume_unique=True))
+                        last, held = x, line_set(decode(x))
+                    other = line_set(decode(y))
+                    both = int(np.count_nonzero(held[np.minimum(np.searchsorted(held, other), len(held) - 1)] == other))
                     keep.append(den * both >= num * (len(held) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            texts = self._texts(classes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
-            rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("said").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
-            linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
-            scratch.drop(texts)
-            return linked
-
-        return verify
+        x, y = (self.texts.select(F.col("node").alias(n), F.col("said").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+        return self.scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
 
     def run(self) -> DataFrame:
-        """``(id, line)`` of the lines to drop."""
+        """``(id, h, line)`` of the lines to drop."""
         s = self.scratch
         lines = s.save(self._lines())
-        classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line")).alias("first")))
-        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("size"), F.lit(1).alias("need"), F.lit(0).alias("pos"))
-        shared = shared_postings(postings, s)
-        comps = link(shared, self._verify(classes), self.num, self.den, s, self._refine(classes))
-        s.drop(shared)
+        classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "line")).alias("first")))
+        postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("need"), F.lit(0).alias("pos"))
+        comps = link(postings, self._verify, self._sketches, self.num, self.den, s, needs=False, prepare=self._read(classes))
+        s.drop(self.texts)
         known = join_counted(classes, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("copies > 1 or root is not null")
         known = s.save(known.select("node", F.coalesce("root", "node").alias("comp"), "first"))
         kept = known.groupBy("comp").agg(F.min("first").alias("keep")).select(F.col("comp").alias("c"), "keep")
         verdict = s.save(known.join(kept, F.col("comp") == F.col("c")).select("node", "keep"))
-        gone = join_counted(lines.select("id", "line", "node"), verdict, "node", "inner").where("id <> keep.id or line <> keep.line")
-        out = s.save(gone.select("id", "line").distinct())
+        gone = join_counted(lines.select("id", "h", "line", "node"), verdict, "node", "inner").where("id <> keep.id or h <> keep.h or line <> keep.line")
+        out = s.save(gone.select("id", "h", "line").distinct())
         s.drop(lines, classes, known, verdict)
         return out
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("h"), text_bytes().alias("text"))
+
+
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
-    """``id_col``, ``line`` (from 0): lines that repeat another one.
+    """``id_col``, ``text_hash``, ``line`` (from 0): lines that repeat another one.
 
     Lines end at line feeds; blank ones are left alone.  Lines are linked when
     the Jaccard similarity of their sets of 8-character shingles is ``num / den``
     or more (shorter lines: when they are equal); of each component the first
-    line by id and number stays.  Equal lines are told by 64-bit digests.
-    Null and empty texts have no lines; rows of one id count as one document;
-    rows with a null id are left alone; an empty table gives an empty table.
+    line by id, ``text_hash`` (xxhash64 of the text) and number stays.  Equal
+    lines are told by 64-bit digests.  Null and empty texts have no lines; rows
+    of one id and different texts are documents of their own, and rows that are
+    alike in both count as one; rows with a null id are left alone; an empty
+    table gives an empty table.
     """
-    return Dedup(df, id_col, text_col, num, den).run().withColumnRenamed("id", id_col)
+    return Dedup(_keyed(df, id_col, text_col), num, den).run().select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "line")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, dropped_col: str = "dropped_lines") -> DataFrame:
     """``df`` without repeated lines: ``text_col`` keeps its other lines, joined by
-    line feeds, and ``dropped_lines`` (sorted array of numbers, null where there
-    are none) is appended.  Rows stay, also those left with an empty text."""
-    gone = repeated_lines(df, id_col, text_col, num, den)
-    by_doc = gone.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("dropped_lines"))
-    by_doc = Scratch(df.sparkSession).save(by_doc)
-    small = gone.count()  # line numbers in all: what a broadcast would hold
-    out = join_counted(df, by_doc, df[id_col] == F.col("_id"), "left") if small <= 1_000_000 else df.join(by_doc, df[id_col] == F.col("_id"), "left")
-    rest = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("dropped_lines", i))
-    text = F.when(F.col("dropped_lines").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else df[c] for c in df.columns], "dropped_lines")
+    line feeds, and ``dropped_col`` (sorted array of numbers, null where there
+    are none) is appended, with underscores where its name is taken.  Rows stay,
+    also those left with an empty text."""
+    gone = Dedup(_keyed(df, id_col, text_col), num, den).run()
+    by_doc = Scratch(df.sparkSession).save(gone.groupBy(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.array_sort(F.collect_list("line")).alias("gone")))
+    names, at, key = df.columns, df.columns.index(text_col), df.columns.index(id_col)
+    while dropped_col.lower() in {n.lower() for n in names}:
+        dropped_col += "_"
+    flat = df.toDF(*[f"_{i}" for i in range(len(names))])
+    out = join_counted(flat, by_doc, (F.col(f"_{key}") == F.col("gone_id")) & (F.xxhash64(f"_{at}") == F.col("gone_h")), "left").select(*flat.columns, "gone")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drop = batch.column("gone")
+            change = np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False))
+            if len(change):
+                texts = batch.column(at).view(pa.binary()).to_pylist()
+                for k in change.tolist():
+                    lost = set(drop[k].as_py())
+                    texts[k] = b"\n".join(s for i, s in enumerate(texts[k].split(b"\n")) if i not in lost)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).view(pa.string()))
+            yield batch
+
+    return out.mapInArrow(cut, out.schema).toDF(*names, dropped_col)
 
 
 def report(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What became of each document: its lines now, the numbers of those dropped, and a digest of the rest."""
-    return deduped.select(
-        id_col,
-        F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped"),
-        F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    """What became of each document (of :func:`dedup`, whose last column has the
+    dropped lines): its lines now, the numbers of those dropped, and a digest of the rest."""
+    rows = deduped.toDF(*[f"_{i}" for i in range(len(deduped.columns) - 1)], "gone")
+    text = F.col(f"_{deduped.columns.index(text_col)}")
+    return rows.select(
+        F.col(f"_{deduped.columns.index(id_col)}").alias(id_col),
+        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"),
+        F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )

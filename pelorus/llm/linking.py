@@ -6,94 +6,203 @@ nodes that are similar enough share at least one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pelorus.llm.common import BROADCAST_ROWS, Scratch, components
-
+from pelorus.llm.common import Scratch, components, join_counted
 
 #: Rounds of one comparison a node, before all pairs that are left.
 STAR_ROUNDS = 3
-
-
-def join_counted(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
-    """A join that broadcasts ``small`` only if its counted rows are few; else Spark shuffles, and splits skewed keys as it runs."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
-def shared_postings(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings ``(token, node, size, need, pos)`` whose token has several nodes,
-    of nodes that have ``need`` such tokens.  ``need`` is how many tokens a node
-    shares, at least, with any node that it may be linked to; ``pos`` is the
-    token's place in the node's order, from 0."""
-    every = Window.partitionBy("token")
-    spread = [F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")]
-    columns = ["token", "node", "size", "need", "pos"]
-    first = scratch.save(postings.select(*columns, *spread).where("lo <> hi").select(*columns))
-    able = scratch.save(first.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node"))
-    kept = scratch.save(join_counted(first, able, "node", "left_semi").select(*columns, *spread).where("lo <> hi").select(*columns))
-    scratch.drop(first, able)
-    return kept
-
-
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Components ``(node, root)`` of all verified links among nodes that share tokens.
+#: Nodes of one token that are compared in one cell; a token with more is dealt into parts, and cells hold two parts each.
+CELL = 2048
+#: 64-bit words of a sketch.
+WORDS = 32
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Bitmap of a set of 64-bit hashes.  Two sets differ in at least as many
+    elements as their bitmaps in bits, so that a pair ruled out is not linked."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(s >> np.uint64(20)) & np.uint64(64 * WORDS - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def sketches(sets: Iterator[tuple[object, np.ndarray]], kind: Callable[[], pa.DataType], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """``(node, size, sketch)`` of nodes and their sets, in batches."""
+    held: list[tuple] = []
+    for node, s in sets:
+        held.append((node, len(s), sketch(s)))
+        if len(held) == size:
+            yield _sketch_batch(held, kind())
+            held = []
+    if held:
+        yield _sketch_batch(held, kind())
+
+
+def _sketch_batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    nodes, sizes, raw = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["node", "size", "sketch"])
+
+
+def _meeting(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """Postings ``(token, node, comp, need, pos)`` of the tokens whose nodes
+    lie in several components (without ``comp``: the tokens of several nodes), saved,
+    with ``lo`` and ``hi``: the token's first and last ``(comp, node)``.  The extremes are combined before the shuffle, and the
+    join splits a token of very many nodes."""
+    if "comp" in postings.columns:
+        here = F.struct("comp", "node")
+        spread = postings.groupBy("token").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo.comp <> hi.comp")
+    else:  # each node is a component yet
+        ends = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
+        spread = ends.select("token", *[F.struct(F.col(k).alias("comp"), F.col(k).alias("node")).alias(n) for n, k in (("lo", "x"), ("hi", "y"))])
+        postings = postings.withColumn("comp", F.col("node"))
+    return scratch.save(join_counted(postings, scratch.save(spread), "token", "inner"))
+
+
+def _able(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those postings whose nodes have as many as they need; a node with fewer can join nothing."""
+    able = scratch.save(postings.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node"))
+    return join_counted(postings.drop("lo", "hi"), able, "node", "left_semi")
+
+
+def _stars(postings: DataFrame) -> DataFrame:
+    """One pair for each node: with that node of another component which most of its
+    tokens propose (each its first node, or to that one's component its last)."""
+    dealt = postings.select("node", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("p")).where("node <> p").repartition("node")  # one exchange for both groupings
+    votes = dealt.groupBy("node", "p").agg(F.count("*").alias("n"))
+    return votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+
+
+def link(
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    sketch_of: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    scratch: Scratch,
+    needs: bool = True,
+    prepare: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """Components ``(node, root)`` of all links among nodes that share tokens.
+
+    ``postings`` are ``(token, node, need, pos)``, read several times: ``need`` is
+    how many tokens a node shares, at least, with any node that it may be linked to
+    (``needs`` says that some need more than one), and ``pos`` the token's place in
+    the node's order, from 0.
 
     First, in a few rounds, each node is compared with one node of another
-    component, that which most of its tokens propose (each token proposes its
-    first node, or to that one's component its last), so that groups of near
-    copies fall together in a number of pairs linear in their size.  Then all
-    pairs that lie in different components and share a token early enough in both
-    orders are verified; pairs in one component already can add nothing to the
-    components.  ``verify`` takes pairs ``(a, b)``, ``a < b``, some of them
-    twice, and returns those that are linked, as a saved table.  ``refine``, for
-    postings whose order says nothing, takes the nodes ``(node, comp)`` that are
-    left and returns postings of theirs in an order, with ``comp``.
+    component, so that groups of near copies fall together in a number of pairs
+    linear in their size.  Then the pairs that lie in different components and
+    share a token early enough in both orders are told apart by sketches where
+    the token's nodes meet, and only those that may be linked are verified; pairs
+    in one component already can add nothing to the components.
+
+    ``prepare`` is called once with the nodes that share anything.  ``verify``
+    takes pairs ``(a, b)``, ``a < b``, some of them twice, and returns those that
+    are linked, as a saved table.  ``sketch_of`` takes nodes and returns
+    ``(node, size, sketch)`` of their sets.
     """
-    open_, edges = shared.withColumn("comp", F.col("node")), None
-    every = Window.partitionBy("token")
+    columns = ["token", "node", "comp", "need", "pos"]
+
+    def settle(known: DataFrame) -> DataFrame:
+        met = _meeting(known.select(*[c for c in columns if c in known.columns]), scratch)
+        if not needs:
+            return met
+        out = _meeting(_able(met, scratch).select(*columns), scratch)
+        scratch.drop(met)
+        return out
+
+    open_, edges = settle(postings), None
+    if prepare:
+        prepare(open_.select("node").distinct())
     for _ in range(STAR_ROUNDS):
-        here = F.struct("comp", "node")
-        spread = open_.select("node", "comp", F.min(here).over(every).alias("lo"), F.max(here).over(every).alias("hi"))
-        dealt = spread.select("node", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("p")).where("node <> p").repartition("node")  # one exchange for both groupings
-        votes = dealt.groupBy("node", "p").agg(F.count("*").alias("n"))
-        star = votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        star = scratch.save(star)
+        star = scratch.save(_stars(open_))
         found = verify(star)
         edges = found if edges is None else edges.union(found)
         comps = components(edges, scratch)
-        last, open_ = open_, scratch.save(_unsettled(open_, comps))
-        if hasattr(last, "_scratch_path"):
-            scratch.drop(last)
-        scratch.drop(star)
+        known = join_counted(open_, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
+        left = settle(known.withColumn("comp", F.coalesce("root", "node")))
+        scratch.drop(star, open_)
+        open_ = left
+        scratch.free()
         if open_.isEmpty():
             return comps
-    if refine:
-        open_ = refine(scratch.save(open_.select("node", "comp").distinct()))
-    pairs = scratch.save(_cross_pairs(open_, num, den))
+    pairs = scratch.save(_cross_pairs(open_.select(*columns), sketch_of, num, den, scratch))
     found = verify(pairs)
-    scratch.drop(pairs)
+    scratch.drop(pairs, open_)
+    scratch.free()
     return components(edges.union(found), scratch)
 
 
-def _unsettled(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """Postings of tokens whose nodes still lie in several components."""
-    known = join_counted(postings.drop("comp"), comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    known = known.withColumn("comp", F.coalesce("root", "node")).drop("k", "root")
-    every = Window.partitionBy("token")
-    mixed = known.withColumn("c1", F.min("comp").over(every)).withColumn("c2", F.max("comp").over(every)).where("c1 <> c2").drop("c1", "c2")
-    own = Window.partitionBy("node")  # a node has at most its own tokens; with too few left it can join nothing more
-    return mixed.withColumn("left", F.count("*").over(own)).where("left >= need").drop("left")
-
-
-def _cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components with a common token among the first ``size -
-    overlap + 1`` of both, ``overlap`` being what sets of these sizes must share."""
-    a = postings.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
-    b = postings.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
-    overlap = F.expr(f"(CAST(sa + sb AS BIGINT) * {num} + {num + den - 1}) div {num + den}")
-    near = (F.col("ca") < F.col("cb")) & (F.col("pa") <= F.col("sa") - overlap) & (F.col("pb") <= F.col("sb") - overlap)
-    both = a.join(b, (F.col("token") == F.col("t")) & near).select("a", "b").distinct()
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def near_pairs(g: np.ndarray, part: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of one group (``g``, in order) that may be linked: of
+    different components and, where parts are given (0 and more), of different
+    parts, each at a place from which their sets can share enough, and with
+    bitmaps that differ in no more bits than linked sets do in elements."""
+    at = np.arange(len(g))
+    for d in range(1, len(g)):
+        at = at[at + d < len(g)]
+        at = at[g[at] == g[at + d]]
+        if not len(at):
+            return
+        for lo in range(0, len(at), 100_000):
+            i = at[lo : lo + 100_000]
+            j = i + d
+            both = size[i] + size[j]
+            overlap = -(-both * num // (num + den))
+            ok = (comp[i] != comp[j]) & ((part[i] != part[j]) | (part[i] < 0)) & (np.minimum(size[i], size[j]) >= overlap)
+            ok &= (pos[i] <= size[i] - overlap) & (pos[j] <= size[j] - overlap)
+            i, j, most = i[ok], j[ok], (both - 2 * overlap)[ok]
+            few = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= most
+            if few.any():
+                yield i[few], j[few]
+
+
+def _cross_pairs(postings: DataFrame, sketch_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components that may be linked, and that have a common
+    token among the first ``size - overlap + 1`` of both, ``overlap`` being what
+    sets of these sizes must share.  A token of more than CELL nodes is dealt into
+    parts by the node's hash, and each two parts meet in a cell of their own: no
+    task holds more than about two parts, and only near pairs leave it."""
+    own = scratch.save(sketch_of(postings.select("node").distinct()))
+    hot = scratch.save(postings.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select(F.col("token").alias("t"), F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
+    rows = join_counted(postings, hot, F.col("token") == F.col("t"), "left")
+    rows = rows.withColumn("part", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    # part p meets all others in the cells (p, q) and, with itself, in (p, p)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part"), "node", "comp", "pos")
+    rows = rows.join(own, "node").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    kind = postings.schema["node"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, x, y, part, size, pos = (t[c].to_numpy() for c in ("token", "x", "y", "part", "size", "pos"))
+            new = np.concatenate([[False], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            comp = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
+            bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, WORDS)
+            node = t["node"].combine_chunks()
+            for i, j in near_pairs(np.cumsum(new), part, comp, size.astype(np.int64), pos.astype(np.int64), bits, num, den):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["p", "q"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 40_000:
+                continue
+            token, x, y = (held[c].to_numpy() for c in ("token", "x", "y"))
+            last = np.flatnonzero((token != token[-1]) | (x != x[-1]) | (y != y[-1]))
+            if len(last):  # the last group may go on
+                yield from compare(held.slice(0, last[-1] + 1))
+                held = held.slice(last[-1] + 1)
+        if held is not None and held.num_rows:
+            yield from compare(held)
+
+    near = rows.mapInArrow(run, T.StructType([T.StructField("p", kind), T.StructField("q", kind)]))
+    return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.llm import embeddings, jaccard, lines, linking
+from pelorus.llm import common, embeddings, jaccard, lines, linking
 from pelorus.llm.common import Scratch, components
 
 
@@ -89,7 +89,7 @@ def test_jaccard_join(docs, n, num, den):
 
 def test_jaccard_without_documents(docs):
     assert jaccard.join(docs([])).count() == 0
-    assert [tuple(r) for r in jaccard.join(docs([(1, None), (2, "")])).collect()] == [(1, 0, 1), (2, 0, 2)]
+    assert sorted(tuple(r) for r in jaccard.join(docs([(1, None), (2, "")])).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
 def test_keep_one_keeps_columns(docs):
@@ -209,6 +209,58 @@ def test_embeddings(spark, homes, probes):
 
 def test_counted_join(spark, monkeypatch):
     a, b = spark.range(10), spark.range(3)
-    assert linking.join_counted(a, b, "id", "left_anti").count() == 7
-    monkeypatch.setattr(linking, "BROADCAST_ROWS", 1)
-    assert linking.join_counted(a, b, "id", "left_semi").count() == 3
+    assert common.is_small(b) and common.join_counted(a, b, "id", "left_anti").count() == 7
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    wide = b.select("id", F.array(F.repeat(F.lit("x"), 60)).alias("w"), F.struct("id").alias("s"))
+    assert common.is_small(b) and not common.is_small(wide) and common.is_small(wide.limit(0))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert not common.is_small(b) and common.join_counted(a, b, "id", "left_semi").count() == 3
+
+
+# near pairs within a token
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_cross_pairs_lose_no_link(spark, monkeypatch, cell):
+    monkeypatch.setattr(linking, "CELL", cell)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = {k: np.unique(np.concatenate([base[rng.random(200) < 0.93], rng.integers(0, 2**63, 6).astype(np.uint64)])) for k in range(60)}
+    sets |= {100 + k: base[:n] for k, n in enumerate((1, 3, 150, 190))}
+    rows = [(token, k, k, 1, 0) for token in (1, 2) for k, s in sets.items()]
+    postings = spark.createDataFrame(rows, "token long, node long, comp long, need int, pos int")
+    own = spark.createDataFrame([(k, len(s), bytearray(linking.sketch(s))) for k, s in sets.items()], "node long, size int, sketch binary")
+    got = {tuple(r) for r in linking._cross_pairs(postings, lambda nodes: own, 80, 100, Scratch(spark)).collect()}
+    linked = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= got and len(got) < 0.9 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_jaccard_ids_of_several_texts(docs):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (8, None), (9, ""), (9, a + " x"), (11, "alone here")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.join(docs(order)).collect()}
+        assert got == {(1, 57): 1, (5, 57): 1, (7, 58): 1, (8, 0): 8, (9, 0): 1, (9, 58): 1, (11, 1): 11}
+
+
+def test_lines_of_ids_with_several_texts(docs):
+    x, y, z = "a line that is said in both of the texts", "important unique text that must be kept in place", "other words of the second text, only there"
+    rows = [(1, x + "\n" + y), (1, z + "\n" + x), (2, x), (2, x), (3, None), (4, "")]
+    want = None
+    for order in (rows, rows[::-1], rows[1:3] + rows[:1] + rows[3:]):
+        done = sorted((r.doc_id, r.text or "") for r in lines.dedup(docs(order)).collect())
+        assert len(done) == 6 and [sum(t.count(s) for _, t in done) for s in (x, y, z)] == [1, 1, 1]
+        want = want or done
+        assert done == want
+
+
+def test_dedup_beside_clashing_columns(docs):
+    df = docs([(1, "one line that is repeated\nown words of the first"), (2, "one line that is repeated")])
+    df = df.select("*", *[F.lit(1).alias(n) for n in ("TEXT", "_id", "dropped_lines", "gone", "DOC_ID", "h", "line")])
+    done = lines.dedup(df)
+    assert done.columns == [*df.columns, "dropped_lines_"]
+    flat = done.toDF(*[f"c{i}" for i in range(len(done.columns))]).orderBy("c0").collect()
+    assert [(r[0], r[1], r[-1]) for r in flat] == [(1, "one line that is repeated\nown words of the first", None), (2, "", [0])]
+    assert [(r.n_lines, r.n_dropped) for r in lines.report(done).orderBy("doc_id").collect()] == [(2, 0), (0, 1)]
+    assert jaccard.keep_one(df).columns == df.columns and jaccard.keep_one(df).count() == 2
