@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.llm import bpe, jaccard, lines, mixing, toxicity
-from pelorus.llm.common import Scratch, read
-from pelorus.llm.linking import join_counted
+from pelorus.llm.common import Scratch, join_counted, pick, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,22 +19,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; those with null ids or texts stay."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.keep_harmless(docs.select(*COLUMNS), model)
+    return toxicity.keep_harmless(pick(docs, *COLUMNS), model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents that had text and have no visible line left, which are copies throughout."""
-    out = lines.dedup(docs.select(*COLUMNS))
+    out = lines.dedup(pick(docs, *COLUMNS))
     return out.where("dropped_lines is null or trim(both '\\n\\t\\r ' from text) <> ''").withColumn("n_chars", F.when(F.col("dropped_lines").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words a shingle, similarity 0.8."""
-    return jaccard.keep_one(docs.select(*COLUMNS))
+    return jaccard.keep_one(pick(docs, *COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    docs = pick(docs, *COLUMNS)
     plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies"))
     plan = Scratch(spark).save(plan.where("copies > 0"))
     taken = join_counted(docs, plan, docs.doc_id.eqNullSafe(F.col("_id")), "inner")
