@@ -4,9 +4,10 @@ Unit vectors are rotated to principal axes (of a bounded sample), the axes are
 dealt to low-dimensional blocks, and the squared distance that the cosine
 threshold allows is shared among the blocks in proportion to their variance: a
 linked pair stays within the share of at least one block.  Each block is
-range-joined on its own in k-d cells, to which points come home once and as
-probes wherever their ball reaches; candidates are verified exactly, and a pair
-counts in the first block that has it.
+range-joined on its own in k-d cells, where points are at home and to which they
+come as probes wherever their ball reaches and the cell is numbered after their
+own; within a cell, tiles that a ball doesn't reach are passed over.  Candidates
+are verified exactly, and a pair counts in the first block that has it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pelorus.llm.common import Scratch, components, id_hash, join_counted, local
 
 #: The rotation and the cells are fitted on at most so many vectors, those of the least hash of their id.
 SAMPLE = 4096
-#: Rows that a cell holds at home, and probes that meet them in one task.
+#: Rows that a cell holds at home, and about as many probes as meet them in one task.
 HOMES, PROBES = 32_768, 65_536
+#: Rows of a tile within a task.
+TILE = 256
 
 
 def scaled(raw: np.ndarray) -> np.ndarray:
@@ -39,22 +42,63 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
+@dataclass
+class Cell:
+    """A box of a block's k-d tree; a leaf has no halves, and is salted into
+    ``parts`` numbered from ``first``, to each of which ``chunks`` lots of probes
+    come, in groups numbered from ``key``."""
+
+    low: np.ndarray
+    high: np.ndarray
+    halves: list[Cell]
+    first: int = 0
+    parts: int = 1
+    chunks: int = 1
+    key: int = 0
+
+    def leaves(self) -> Iterator[Cell]:
+        if not self.halves:
+            yield self
+        for half in self.halves:
+            yield from half.leaves()
+
+    def reached(self, p: np.ndarray, rows: np.ndarray, budget: float) -> Iterator[tuple[Cell, np.ndarray]]:
+        """Leaves, and which of the rows (points ``p``) have a ball that reaches them."""
+        gap = np.maximum(np.maximum(self.low - p[rows], p[rows] - self.high), 0)
+        rows = rows[np.einsum("nk,nk->n", gap, gap) <= budget * (1 + 1e-6) + 1e-9]
+        if not len(rows):
+            return
+        if not self.halves:
+            yield self, rows
+        for half in self.halves:
+            yield from half.reached(p, rows, budget)
+
+
 @dataclass
 class Plan:
-    """Rotation, blocks of axes, squared budgets, and for each block its cells as boxes (low, high) with the number of parts that each is salted into."""
+    """Rotation, blocks of axes, squared budgets, and a tree of cells for each block."""
 
     turn: np.ndarray
     blocks: list[np.ndarray]
     budget: np.ndarray
-    low: list[np.ndarray]
-    high: list[np.ndarray]
-    parts: list[np.ndarray]
-    chunks: int
+    trees: list[Cell]
 
     def coordinates(self, x: np.ndarray) -> np.ndarray:
         return np.einsum("nd,dk->nk", unit(x), self.turn)
 
 
+def _grow(points: np.ndarray, low: np.ndarray, high: np.ndarray, share: float, homes: int, depth: int = 24) -> Cell:
+    """A tree whose leaves have about ``homes`` rows, ``share`` rows for each sampled point."""
+    d = int(np.argmax(points.var(0))) if len(points) else 0
+    cut = float(np.median(points[:, d])) if len(points) else 0.0
+    left = points[:, d] < cut
+    if len(points) * share <= homes or len(points) < 8 or not depth or not left.any():
+        return Cell(low, high, [], parts=max(1, round(len(points) * share / homes)))
+    right_of, left_of = low.copy(), high.copy()
+    right_of[d] = left_of[d] = cut
+    return Cell(low, high, [_grow(points[left], low, left_of, share, homes, depth - 1), _grow(points[~left], right_of, high, share, homes, depth - 1)])
+
+
 def make_plan(sample: np.ndarray, rows: int, threshold: float, n_blocks: int, homes: int, probes: int) -> Plan:
     u = unit(scaled(sample))
     dim = u.shape[1]
@@ -67,114 +111,126 @@ def make_plan(sample: np.ndarray, rows: int, threshold: float, n_blocks: int, ho
     allowed = 2 - 2 * threshold
     budget = (allowed * (1 + 1e-9) + 1e-9) * share / share.sum()
     z = u @ turn
-    low, high, parts = [], [], []
-    for axis in blocks:
-        cells = [(np.full(len(axis), -np.inf), np.full(len(axis), np.inf), z[:, axis])]
-        depth = 0
-        while len(cells) * homes < rows and depth < 20:
-            nxt = []
-            for lo, hi, pts in cells:
-                if len(pts) < 8:
-                    nxt.append((lo, hi, pts))
-                    continue
-                d = int(np.argmax(pts.var(0)))
-                cut = float(np.median(pts[:, d]))
-                left, right = hi.copy(), lo.copy()
-                left[d] = right[d] = cut
-                nxt += [(lo, left, pts[pts[:, d] < cut]), (right, hi, pts[pts[:, d] >= cut])]
-            depth += 1
-            if len(nxt) == len(cells):
-                break
-            cells = nxt
-        low.append(np.array([c[0] for c in cells]))
-        high.append(np.array([c[1] for c in cells]))
-        parts.append(np.array([max(1, round(rows * len(c[2]) / max(1, len(z)) / homes)) for c in cells]))
-    return Plan(turn, blocks, budget, low, high, parts, max(1, -(-rows // probes)))
+    trees, key = [], 0
+    for axis, most in zip(blocks, budget):
+        p, each = np.ascontiguousarray(z[:, axis]), rows / len(z)
+        tree = _grow(p, np.full(len(axis), -np.inf), np.full(len(axis), np.inf), each, homes)
+        come = {id(leaf): len(at) * each for leaf, at in tree.reached(p, np.arange(len(p)), most)}
+        first = 0
+        for leaf in tree.leaves():
+            leaf.first, leaf.key, leaf.chunks = first, key, max(1, -(-int(come.get(id(leaf), 0)) // probes))
+            first, key = first + leaf.parts, key + leaf.parts * leaf.chunks
+        trees.append(tree)
+    return Plan(turn, blocks, budget, trees)
 
 
 def route(plan: Plan, x: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """Group numbers, whether its rows are at home there, and the rows' places."""
+    """Group numbers, whether its rows are at home there, and the rows' places.  A
+    row probes only parts that are numbered after its own: of two rows that are
+    near each other, one comes to the other."""
     z = plan.coordinates(x)
     salt = np.array([xxhash.xxh3_64_intdigest(str(n).encode()) for n in nodes.tolist()], np.uint64)
-    key = 0
-    for b, axis in enumerate(plan.blocks):
-        p = z[:, axis]
-        for lo, hi, n in zip(plan.low[b], plan.high[b], plan.parts[b]):
-            home = ((p >= lo) & (p < hi)).all(1)
-            gap = np.maximum(np.maximum(lo - p, p - hi), 0)
-            near = np.einsum("nk,nk->n", gap, gap) <= plan.budget[b] * (1 + 1e-6) + 1e-9
-            for part in range(int(n)):
-                own = home & (salt % np.uint64(n) == part)
-                for c in range(plan.chunks):
-                    yield key, True, np.flatnonzero(own)
-                    yield key, False, np.flatnonzero(near & ((salt >> np.uint64(20)) % np.uint64(plan.chunks) == c))
-                    key += 1
-
-
-def block_of(plan: Plan, key: int) -> int:
-    for b, n in enumerate(plan.parts):
-        key -= int(n.sum()) * plan.chunks
-        if key < 0:
-            return b
+    every = np.arange(len(x))
+    for axis, budget, tree in zip(plan.blocks, plan.budget, plan.trees):
+        p = np.ascontiguousarray(z[:, axis])
+        reached = list(tree.reached(p, every, budget))
+        home = np.full(len(x), -1)
+        for leaf, at in reached:
+            own = at[((p[at] >= leaf.low) & (p[at] < leaf.high)).all(1)]
+            home[own] = leaf.first + (salt[own] % np.uint64(leaf.parts)).astype(np.int64)
+        for leaf, at in reached:
+            lot = ((salt[at] >> np.uint64(20)) % np.uint64(leaf.chunks)).astype(np.int64)
+            for part in range(leaf.parts):
+                own, come = at[home[at] == leaf.first + part], home[at] < leaf.first + part
+                for c in range(leaf.chunks):
+                    yield leaf.key + part * leaf.chunks + c, True, own
+                    yield leaf.key + part * leaf.chunks + c, False, at[come & (lot == c)]
+
+
+def group_of(plan: Plan, key: int) -> tuple[int, int]:
+    """Block and lot of a group."""
+    for block, tree in enumerate(plan.trees):
+        for leaf in tree.leaves():
+            if key < leaf.key + leaf.parts * leaf.chunks:
+                return block, (key - leaf.key) % leaf.chunks
     raise ValueError("no such group")
 
 
-def match(plan: Plan, block: int, home: np.ndarray, probe: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked (home, probe) places whose first block within its budget is this one, in portions."""
-    zh, zp = plan.coordinates(home), plan.coordinates(probe)
-    axis = plan.blocks[block]
-    a, b = zh[:, axis].astype(np.float32), zp[:, axis].astype(np.float32)
-    aa, limit = (a * a).sum(1), np.float32(plan.budget[block] + 1e-5)
-    nh, np_ = np.sqrt(np.einsum("nd,nd->n", home, home)), np.sqrt(np.einsum("nd,nd->n", probe, probe))
-    step = max(1, 8_000_000 // max(1, len(home)))
-    for at in range(0, len(probe), step):
-        q = b[at : at + step]
-        near = (q @ (-2 * a.T)) + aa[None, :] <= (limit - (q * q).sum(1))[:, None]
-        every_j, every_i = np.nonzero(near)
-        for lo in range(0, len(every_i), 200_000):
-            i, j = every_i[lo : lo + 200_000], every_j[lo : lo + 200_000] + at
-            cos = np.einsum("nd,nd->n", home[i], probe[j]) / (nh[i] * np_[j])
-            good = cos >= threshold
-            i, j = i[good], j[good]
-            if not len(i):
-                continue
-            gap = (zh[i] - zp[j]) ** 2
-            within = np.stack([gap[:, x].sum(1) <= g for x, g in zip(plan.blocks, plan.budget)], 1)
-            first = within.argmax(1) == block
-            yield i[first], j[first]
+def tiles(p: np.ndarray, rows: np.ndarray, size: int = TILE) -> Iterator[np.ndarray]:
+    """Rows in halves along their widest axis, down to tiles."""
+    if len(rows) <= size:
+        yield rows
+        return
+    own = p[rows]
+    order = rows[np.argsort(own[:, int(np.argmax(own.max(0) - own.min(0)))], kind="stable")]
+    yield from tiles(p, order[: len(order) // 2], size)
+    yield from tiles(p, order[len(order) // 2 :], size)
+
+
+def match(plan: Plan, block: int, x: np.ndarray, homes: int, among: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked places among ``x``, of which the first ``homes`` are at home and meet
+    each other (if ``among``) and all others, in portions: pairs whose first block
+    within its budget is this one."""
+    z = plan.coordinates(x)
+    norm = np.sqrt(np.einsum("nd,nd->n", x, x))
+    p = np.ascontiguousarray(z[:, plan.blocks[block]]).astype(np.float32)
+    runs = list(tiles(p, np.arange(homes)))
+    order = np.concatenate([*runs, np.arange(homes, len(x))])
+    p = p[order]
+    square = np.einsum("nk,nk->n", p, p)
+    ones = np.ones(len(p), np.float32)
+    left, right = np.column_stack([-2 * p, square, ones]), np.column_stack([p, ones, square])
+    limit = np.float32(plan.budget[block] + 1e-5)
+    at = 0
+    for run in runs:
+        end = at + len(run)
+        low, high = p[at:end].min(0), p[at:end].max(0)
+        start = at if among else homes
+        gap = np.maximum(np.maximum(low - p[start:], p[start:] - high), 0)
+        others = start + np.flatnonzero(np.einsum("nk,nk->n", gap, gap) <= limit)
+        for lo in range(0, len(others), 65_536):
+            own = others[lo : lo + 65_536]
+            near = np.flatnonzero(right[own] @ left[at:end].T <= limit)
+            j, i = own[near // len(run)], at + near % len(run)
+            i, j = i[j > i], j[j > i]
+            for k in range(0, len(i), 200_000):
+                a, b = order[i[k : k + 200_000]], order[j[k : k + 200_000]]
+                good = np.einsum("nd,nd->n", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
+                a, b = a[good], b[good]
+                if not len(a):
+                    continue
+                apart = (z[a] - z[b]) ** 2
+                within = np.stack([apart[:, axis].sum(1) <= most for axis, most in zip(plan.blocks, plan.budget)], 1)
+                first = within.argmax(1) == block
+                yield a[first], b[first]
+        at = end
 
 
 def _join_groups(plan: Plan, dim: int, kind: np.dtype, threshold: float, schema: T.StructType):
     def group(key: tuple, table: pa.Table) -> pa.Table:
-        block = block_of(plan, key[0].as_py())
+        block, lot = group_of(plan, key[0].as_py())
         at_home = table["home"].to_numpy()
-        raw = np.frombuffer(b"".join(table["raw"].to_pylist()), kind).reshape(-1, dim)
-        x = scaled(raw)
-        nodes, copies = table["node"], table["copies"].to_numpy()
-        h, p = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-        ids = nodes.to_numpy()
-        links = np.zeros(len(h), np.int64)
-        label = np.unique(ids, return_inverse=True)
-        local, names = label[1], label[0]
+        order = np.concatenate([np.flatnonzero(at_home), np.flatnonzero(~at_home)])
+        table = table.take(pa.array(order))
+        x = scaled(np.frombuffer(b"".join(table["raw"].to_pylist()), kind).reshape(-1, dim))
+        copies, ids = table["copies"].to_numpy(), table["node"].to_numpy()
+        names, local = np.unique(ids, return_inverse=True)
+        links = np.zeros(len(names), np.int64)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in match(plan, block, x[h], x[p], threshold) if len(h) and len(p) else ():
-            other = ids[h[i]] != ids[p[j]]
+        homes = int(at_home.sum())
+        for i, j in match(plan, block, x, homes, lot == 0, threshold) if homes else ():
+            other = local[i] != local[j]
             i, j = i[other], j[other]
-            np.add.at(links, i, copies[p[j]])
+            np.add.at(links, local[i], copies[j])
+            np.add.at(links, local[j], copies[i])
             # a few pairs at a time come down to a tree
-            root = local_roots(local[h[i]], local[p[j]], len(names))
+            root = local_roots(local[i], local[j], len(names))
             moved = np.flatnonzero(root != np.arange(len(names)))
             ends.append((moved, root[moved]))
-        if ends:
-            root = local_roots(*(np.concatenate(e) for e in zip(*ends)), len(names))
-        else:
-            root = np.arange(len(names))
-        moved = np.flatnonzero(root != np.arange(len(names)))
-        own = np.flatnonzero(links)
-        node = np.concatenate([ids[h[own]], names[moved]])
-        to = np.concatenate([ids[h[own]], names[root[moved]]])
-        n = np.concatenate([links[own], np.zeros(len(moved), np.int64)])
-        return pa.table({"node": pa.array(node), "to": pa.array(to), "n": pa.array(n)})
+        root = local_roots(*(np.concatenate(e) for e in zip(*ends)), len(names)) if ends else np.arange(len(names))
+        moved, own = np.flatnonzero(root != np.arange(len(names))), np.flatnonzero(links)
+        node, to = np.concatenate([names[own], names[moved]]), np.concatenate([names[own], names[root[moved]]])
+        return pa.table({"node": pa.array(node), "to": pa.array(to), "n": pa.array(np.concatenate([links[own], np.zeros(len(moved), np.int64)]))})
 
     return group
 
@@ -187,10 +243,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     is its component's).  Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different length don't
     link; equal vectors are collapsed first and count as links of each other;
-    rows of one id are one node; a null id has component null; an empty table
+    rows of one id are one node, and the links of its vectors add up; a null id has component null; an empty table
     gives an empty table.  On vectors without low-dimensional structure a ball
-    reaches most cells, and the work then grows towards the square of the rows;
-    no task holds more than about ``homes`` and ``probes`` of them.
+    reaches most of a few cells, fewer of many; no task holds more than about
+    ``homes`` rows and ``probes`` probes, and homes are copied only where more
+    probes than that come, as the sample tells.
     """
     spark, s = df.sparkSession, Scratch(df.sparkSession)
     rows = pick(df, node=id_col, v=vector_col)
