@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelorus.llm.common import Scratch, chunks, components, join_counted, pick, text_bytes
-from pelorus.llm.linking import link, sketches
+from pelorus.llm.linking import link
 
 #: Small sets are never larger than this, whatever the costs.
 MOST_SMALL = 24
@@ -108,13 +108,6 @@ def _i64(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two sorted sets share."""
-    if not len(a) or not len(b):
-        return 0
-    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
-
-
 class Join:
     """The join of one table; ``n`` words a shingle, links at ``den * overlap >= num * union``."""
 
@@ -196,53 +189,6 @@ class Join:
 
         return docs.mapInArrow(run, T.StructType(fields))
 
-    def _sketches(self, docs: DataFrame):
-        """Sketches of the sets of given nodes; a node of several texts has several."""
-        n, kind = self.n, self.kind
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _WordHash()
-            ids = None
-
-            def sets():
-                nonlocal ids
-                for batch in batches:
-                    ids = batch.schema.field("node").type
-                    for node, raw in zip(batch.column("node"), batch.column("text")):
-                        s = shingle_sets([raw.as_py()], n, words)[0]
-                        if len(s):
-                            yield node.as_py(), s
-
-            yield from sketches(sets(), lambda: ids)
-
-        schema = T.StructType([T.StructField("node", kind), T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
-        return lambda nodes: join_counted(docs, nodes, "node", "left_semi").select("node", "text").mapInArrow(run, schema)
-
-    def _verify(self, docs: DataFrame):
-        n, num, den, scratch = self.n, self.num, self.den, self.scratch
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, last, held = _WordHash(), None, None
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y")):
-                    x, y = x.as_py(), y.as_py()
-                    if x != last:
-                        last, held = x, shingle_sets([x], n, words)[0]
-                    other = shingle_sets([y], n, words)[0]
-                    keep.append(den * (both := overlap(held, other)) >= num * (len(held) + len(other) - both) > 0)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            texts = scratch.save(join_counted(docs.select("node", "text"), ids, "node", "left_semi"))
-            rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-            linked = scratch.save(rows.select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
-            scratch.drop(texts)
-            return linked
-
-        return verify
-
     def run(self) -> DataFrame:
         s = self.scratch
         survey = s.save(self._survey())
@@ -259,7 +205,9 @@ class Join:
         small = boundary(sizes, float((heavy[1].astype(float) ** 2).sum()) / total, self.num, self.den)
         s.drop(survey)
         postings = s.save(self._postings(docs, heavy, small))
-        comps = link(postings, self._verify(docs), self._sketches(docs), self.num, self.den, s)
+        words, n = _WordHash(), self.n
+        read = lambda nodes: join_counted(docs, nodes, "node", "left_semi").select("node", F.col("text").alias("said"))
+        comps = link(postings, read, lambda said: shingle_sets(said, n, words), self.num, self.den, s)
         s.drop(postings)
         # an id that stands in several classes joins them
         ids = s.save(rows.where("node is not null").groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("node"))

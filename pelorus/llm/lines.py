@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelorus.llm.common import Scratch, chunks, decode, join_counted, pick, text_bytes
-from pelorus.llm.linking import link, sketches
+from pelorus.llm.linking import link
 
 #: Characters of a shingle; bands and rows: at similarity 0.8 a pair shares a band in 995 of 1,000 cases.
 SHINGLE, BANDS, ROWS = 8, 10, 4
 #: Lines of up to LONG distinct shingles have signatures of as many hash functions as rows; lines of SHORT and more have one-permutation signatures.  Between them both: at similarity 0.8 the smaller set is at least 0.8 of the larger, so that two similar lines share a family.
 SHORT, LONG = 192, 240
+#: So many digests of lines are remembered by a task, which makes band hashes of each but once.
+MET = 400_000
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _A = (np.random.default_rng(7).integers(1, 2**32, BANDS * ROWS, np.uint64) | _U(1)).astype(np.uint32)
@@ -44,12 +46,18 @@ def shingle_hashes(cp: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
-def line_set(line: str) -> np.ndarray:
-    """Distinct shingles of a line; a shorter line is one shingle."""
-    cp = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(cp) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
-    return np.unique(shingle_hashes(cp))
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Distinct shingles of lines, sorted; a line shorter than one is one shingle."""
+    cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, at, out = shingle_hashes(cp) if len(cp) >= SHINGLE else cp[:0], 0, []
+    for line in lines:
+        if len(line) < SHINGLE:
+            out.append(np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64))
+        else:
+            s = np.sort(h[at : at + len(line) - SHINGLE + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        at += len(line)
+    return out
 
 
 def _bands(sig: np.ndarray, family: int) -> np.ndarray:
@@ -92,11 +100,22 @@ def _distinct(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return both.astype(np.uint32), np.bincount((both >> _U(32)).astype(np.int64), minlength=len(size))
 
 
-def signatures(texts: list[str]) -> list[tuple[int, int, int, np.ndarray | None]]:
+def _at_most(h: np.ndarray, start: np.ndarray, size: np.ndarray, bins: int = 1024) -> np.ndarray:
+    """Whether a line may have no more than LONG different hashes: those that fill more bins have more."""
+    if not len(size):
+        return np.zeros(0, bool)
+    full = np.zeros(len(size) * bins, bool)
+    flat = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    full[np.repeat(np.arange(len(size)) * bins, size) + (h[flat] >> np.uint32(22))] = True
+    return full.reshape(-1, bins).sum(1) <= LONG
+
+
+def signatures(texts: list[str], met: set[int] | None = None) -> list[tuple[int, int, int, np.ndarray | None]]:
     """For each line that is not blank: its text's place, its number, its 64-bit
-    digest, and its band hashes, or none if it is shorter than a shingle or stood
-    before in this list of texts."""
-    lines, met = [], set()
+    digest, and its band hashes, or none if it is shorter than a shingle or was
+    ``met`` before; its digest is added there."""
+    lines: list = []
+    met = set() if met is None else met
     fresh, spans, base, parts = [], [], 0, []
     for t, text in enumerate(texts):
         for i, line in enumerate(text.split("\n")):
@@ -114,6 +133,7 @@ def signatures(texts: list[str]) -> list[tuple[int, int, int, np.ndarray | None]
         h = (shingle_hashes(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)) >> _U(32)).astype(np.uint32)
         start, size = np.array(spans).T
         long = np.flatnonzero(size >= SHORT)  # a line that repeats itself has fewer shingles than places for them
+        long = long[_at_most(h, start[long], size[long])]
         if len(long):
             sets, own = _distinct(h, start[long], size[long])
             start[long], size[long] = len(h) + np.cumsum(own) - own, own
@@ -138,24 +158,28 @@ class Dedup:
         self.scratch = Scratch(self.spark)
         self.docs = docs.where("id is not null")
         self.kind = self.docs.schema["id"].dataType
-        self.texts: DataFrame | None = None
 
     def _lines(self) -> DataFrame:
-        fields = [T.StructField("id", self.kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        fields = [T.StructField("id", self.kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in chunks(batches, 3_000_000):
-                got = signatures([decode(r[2]) for r in rows])
-                place = pa.array([g[0] for g in got], pa.int64())
+            met: set[int] = set()
+            for rows in chunks(batches, 500_000):  # small enough for the processor's cache
+                if len(met) > MET:
+                    met.clear()
+                got = signatures([decode(r[2]) for r in rows], met)
+                place = np.array([g[0] for g in got], np.int64)
+                head = np.diff(place, prepend=-1) != 0  # a text's first line that is not blank
+                place = pa.array(place)
                 ids, hashes = pa.array([r[0] for r in rows]).take(place), pa.array([r[1] for r in rows], pa.int64()).take(place)
                 nodes = np.array([g[2] for g in got], np.uint64).view(np.int64)
                 bands = pa.array([None if g[3] is None else g[3].view(np.int64) for g in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([g[1] for g in got], pa.int32()), pa.array(nodes), bands], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([g[1] for g in got], pa.int32()), pa.array(head), pa.array(nodes), bands], names=[f.name for f in fields])
 
         return self.docs.mapInArrow(run, T.StructType(fields))
 
-    def _read(self, classes: DataFrame):
-        """Saves ``(node, said)`` of given nodes, each read again where it first stands; a text is split once for all its lines."""
+    def _read(self, lines: DataFrame, classes: DataFrame):
+        """Gives ``(node, said)`` of given nodes, each read again where it first stands; a text is split once for all its lines."""
 
         def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,55 +188,23 @@ class Dedup:
                     out = [parts[w["line"]].encode("utf-8", "surrogatepass") for w in wanted]
                     yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wanted], pa.int64()), pa.array(out, pa.binary())], names=["node", "said"])
 
-        def read(nodes: DataFrame) -> None:
+        def read(nodes: DataFrame) -> DataFrame:
             first = join_counted(classes.select("node", "first"), nodes, "node", "left_semi")
             wanted = self.scratch.save(first.groupBy("first.id", "first.h").agg(F.collect_list(F.struct("node", "first.line")).alias("wanted")))
-            once = self.docs.dropDuplicates(["id", "h"]) if self._repeats() else self.docs
+            again = lines.where("head").groupBy("id", "h").count().where("count > 1")
+            once = self.docs if again.isEmpty() else self.docs.dropDuplicates(["id", "h"])
             found = join_counted(once, wanted, ["id", "h"], "inner").select("text", "wanted")
-            self.texts = self.scratch.save(found.mapInArrow(said, "node long, said binary"))
-            self.scratch.drop(wanted)
+            return found.mapInArrow(said, "node long, said binary")
 
         return read
 
-    def _repeats(self) -> bool:
-        """Whether some row is there several times."""
-        return not self.docs.groupBy("id", "h").count().where("count > 1").isEmpty()
-
-    def _sketches(self, nodes: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sets = ((node.as_py(), line_set(decode(said.as_py()))) for batch in batches for node, said in zip(batch.column("node"), batch.column("said")))
-            yield from sketches(sets, pa.int64)
-
-        return join_counted(self.texts, nodes, "node", "left_semi").mapInArrow(run, "node long, size int, sketch binary")
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Compares the lines of pairs of nodes."""
-        num, den = self.num, self.den
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, held = None, None
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y")):
-                    x, y = x.as_py(), y.as_py()
-                    if x != last:
-                        last, held = x, line_set(decode(x))
-                    other = line_set(decode(y))
-                    both = int(np.count_nonzero(held[np.minimum(np.searchsorted(held, other), len(held) - 1)] == other))
-                    keep.append(den * both >= num * (len(held) + len(other) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        x, y = (self.texts.select(F.col("node").alias(n), F.col("said").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-        return self.scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(exact, pairs.select("a", "b").schema))
-
     def run(self) -> DataFrame:
         """``(id, h, line)`` of the lines to drop."""
         s = self.scratch
         lines = s.save(self._lines())
         classes = s.save(lines.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "line")).alias("first")))
         postings = lines.where("bands is not null").select(F.explode("bands").alias("token"), "node", F.lit(1).alias("need"), F.lit(0).alias("pos"))
-        comps = link(postings, self._verify, self._sketches, self.num, self.den, s, needs=False, prepare=self._read(classes))
-        s.drop(self.texts)
+        comps = link(postings, self._read(lines, classes), lambda said: line_sets([decode(x) for x in said]), self.num, self.den, s, needs=False)
         known = join_counted(classes, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("copies > 1 or root is not null")
         known = s.save(known.select("node", F.coalesce("root", "node").alias("comp"), "first"))
         kept = known.groupBy("comp").agg(F.min("first").alias("keep")).select(F.col("comp").alias("c"), "keep")
@@ -248,26 +240,28 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: in
     are none) is appended, with underscores where its name is taken.  Rows stay,
     also those left with an empty text."""
     gone = Dedup(_keyed(df, id_col, text_col), num, den).run()
-    by_doc = Scratch(df.sparkSession).save(gone.groupBy(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.array_sort(F.collect_list("line")).alias("gone")))
+    by_doc = gone.groupBy(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lines in batch.column("gone"):
+                at = np.array(lines.as_py())
+                mask = np.ones(at[-1] + 1, np.uint8)
+                mask[at] = 0
+                out.append(mask.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "mask"])
+
+    by_doc = Scratch(df.sparkSession).save(by_doc.mapInArrow(masks, T.StructType([*by_doc.schema, T.StructField("mask", T.BinaryType())])))
     names, at, key = df.columns, df.columns.index(text_col), df.columns.index(id_col)
     while dropped_col.lower() in {n.lower() for n in names}:
         dropped_col += "_"
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
-    out = join_counted(flat, by_doc, (F.col(f"_{key}") == F.col("gone_id")) & (F.xxhash64(f"_{at}") == F.col("gone_h")), "left").select(*flat.columns, "gone")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drop = batch.column("gone")
-            change = np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False))
-            if len(change):
-                texts = batch.column(at).view(pa.binary()).to_pylist()
-                for k in change.tolist():
-                    lost = set(drop[k].as_py())
-                    texts[k] = b"\n".join(s for i, s in enumerate(texts[k].split(b"\n")) if i not in lost)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).view(pa.string()))
-            yield batch
-
-    return out.mapInArrow(cut, out.schema).toDF(*names, dropped_col)
+    out = join_counted(flat, by_doc, (F.col(f"_{key}") == F.col("gone_id")) & (F.xxhash64(f"_{at}") == F.col("gone_h")), "left")
+    # a mask has a byte for each line up to the last that goes, 0 for those that go
+    rest = F.filter(F.split(F.col(f"_{at}"), "\n", -1), lambda x, i: F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"\0"))
+    text = F.when(F.col("mask").isNull(), F.col(f"_{at}")).otherwise(F.array_join(rest, "\n"))
+    return out.select(*[text if i == at else F.col(f"_{i}") for i in range(len(names))], "gone").toDF(*names, dropped_col)
 
 
 def report(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +271,7 @@ def report(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.col(f"_{deduped.columns.index(text_col)}")
     return rows.select(
         F.col(f"_{deduped.columns.index(id_col)}").alias(id_col),
-        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
+        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"),
         F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("text_sha256"),

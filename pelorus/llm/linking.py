@@ -16,37 +16,76 @@ from pyspark.sql import types as T
 
 from pelorus.llm.common import Scratch, components, join_counted
 
-#: Rounds of one comparison a node, before all pairs that are left.
-STAR_ROUNDS = 3
 #: Nodes of one token that are compared in one cell; a token with more is dealt into parts, and cells hold two parts each.
 CELL = 2048
 #: 64-bit words of a sketch.
 WORDS = 32
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Bitmap of a set of 64-bit hashes.  Two sets differ in at least as many
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+
+
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Bitmaps of sets of 64-bit hashes.  Two sets differ in at least as many
     elements as their bitmaps in bits, so that a pair ruled out is not linked."""
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(s >> np.uint64(20)) & np.uint64(64 * WORDS - 1)] = 1
-    return np.packbits(bits).tobytes()
+    bits = np.zeros((len(sets), 64 * WORDS), np.uint8)
+    if sets:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        bits[row, (np.concatenate(sets) >> np.uint64(20)) & np.uint64(64 * WORDS - 1)] = 1
+    return [r.tobytes() for r in np.packbits(bits, axis=1)]
+
+
+def _bits(sketches: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def sketches(sets: Iterator[tuple[object, np.ndarray]], kind: Callable[[], pa.DataType], size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """``(node, size, sketch)`` of nodes and their sets, in batches."""
-    held: list[tuple] = []
-    for node, s in sets:
-        held.append((node, len(s), sketch(s)))
-        if len(held) == size:
-            yield _sketch_batch(held, kind())
-            held = []
-    if held:
-        yield _sketch_batch(held, kind())
+def most_apart(size: np.ndarray, other: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """What linked sets of these sizes share at least, and in how many elements they differ at most."""
+    both = size + other
+    least = -(-both * num // (num + den))
+    return least, both - 2 * least
 
 
-def _sketch_batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    nodes, sizes, raw = zip(*held)
-    return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["node", "size", "sketch"])
+def _with_sketches(texts: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """``(node, said, size, sketch)`` from ``(node, said)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = sets_of(part.column("said").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches(sets), pa.binary())], names=["node", "said", "size", "sketch"])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Those pairs ``(a, b)`` whose sets are linked: pairs that their sketches rule
+    out are left at that, the others compared exactly."""
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least, most = most_apart(*(batch.column(c).to_numpy().astype(np.int64) for c in ("m", "n")), num, den)
+            able = np.bitwise_count(_bits(batch.column("u")) ^ _bits(batch.column("v"))).sum(1, dtype=np.int64) <= most
+            keep = np.zeros(batch.num_rows, bool)
+            rows = np.flatnonzero(able)
+            for lo in range(0, len(rows), 128):
+                own = rows[lo : lo + 128]
+                x, y = (batch.column(c).take(pa.array(own)).to_pylist() for c in ("x", "y"))
+                once = list(dict.fromkeys(x + y))
+                sets = dict(zip(once, sets_of(once)))
+                keep[own] = [0 < n <= overlap(sets[a], sets[b]) for n, a, b in zip(least[own].tolist(), x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    x = texts.select(F.col("node").alias("a"), F.col("said").alias("x"), F.col("size").alias("m"), F.col("sketch").alias("u"))
+    y = texts.select(F.col("node").alias("b"), F.col("said").alias("y"), F.col("size").alias("n"), F.col("sketch").alias("v"))
+    return scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "m", "u", "y", "n", "v").mapInArrow(exact, pairs.select("a", "b").schema))
 
 
 def _meeting(postings: DataFrame, scratch: Scratch) -> DataFrame:
@@ -78,34 +117,22 @@ def _stars(postings: DataFrame) -> DataFrame:
     return votes.groupBy("node").agg(F.max(F.struct("n", "p"))["p"].alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
 
 
-def link(
-    postings: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    sketch_of: Callable[[DataFrame], DataFrame],
-    num: int,
-    den: int,
-    scratch: Scratch,
-    needs: bool = True,
-    prepare: Callable[[DataFrame], None] | None = None,
-) -> DataFrame:
+def link(postings: DataFrame, read: Callable[[DataFrame], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, scratch: Scratch, needs: bool = True) -> DataFrame:
     """Components ``(node, root)`` of all links among nodes that share tokens.
 
     ``postings`` are ``(token, node, need, pos)``, read several times: ``need`` is
     how many tokens a node shares, at least, with any node that it may be linked to
-    (``needs`` says that some need more than one), and ``pos`` the token's place in
-    the node's order, from 0.
-
-    First, in a few rounds, each node is compared with one node of another
-    component, so that groups of near copies fall together in a number of pairs
-    linear in their size.  Then the pairs that lie in different components and
-    share a token early enough in both orders are told apart by sketches where
-    the token's nodes meet, and only those that may be linked are verified; pairs
-    in one component already can add nothing to the components.
-
-    ``prepare`` is called once with the nodes that share anything.  ``verify``
-    takes pairs ``(a, b)``, ``a < b``, some of them twice, and returns those that
-    are linked, as a saved table.  ``sketch_of`` takes nodes and returns
-    ``(node, size, sketch)`` of their sets.
+    (``needs`` says that some need more than one; else a node has few tokens), and
+    ``pos`` the token's place in the node's order, from 0.  ``read`` gives the
+    contents ``(node, said)`` of nodes, and ``sets_of`` the sorted sets of some.
+
+    First each node is compared with one node that it shares tokens with, so that
+    groups of near copies fall together in a number of pairs linear in their size;
+    then with the one that its sketch is nearest to in each token.  At last the
+    pairs that lie in different components and share a token early enough in both
+    orders are told apart by sketches where the token's nodes meet, and only those
+    that may be linked are verified; pairs in one component already can add nothing
+    to the components.
     """
     columns = ["token", "node", "comp", "need", "pos"]
 
@@ -118,32 +145,31 @@ def link(
         return out
 
     open_, edges = settle(postings), None
-    if prepare:
-        prepare(open_.select("node").distinct())
-    for _ in range(STAR_ROUNDS):
-        star = scratch.save(_stars(open_))
-        found = verify(star)
+    texts = scratch.save(_with_sketches(read(open_.select("node").distinct()), sets_of))
+    for step in ("star", "nearest", "all"):
+        pairs = scratch.save(_stars(open_) if step == "star" else _cross_pairs(open_.select(*columns), texts, num, den, scratch, not needs, step == "nearest"))
+        found = _verify(pairs, texts, sets_of, num, den, scratch)
         edges = found if edges is None else edges.union(found)
         comps = components(edges, scratch)
-        known = join_counted(open_, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-        left = settle(known.withColumn("comp", F.coalesce("root", "node")))
-        scratch.drop(star, open_)
-        open_ = left
-        scratch.free()
-        if open_.isEmpty():
-            return comps
-    pairs = scratch.save(_cross_pairs(open_.select(*columns), sketch_of, num, den, scratch))
-    found = verify(pairs)
-    scratch.drop(pairs, open_)
-    scratch.free()
-    return components(edges.union(found), scratch)
-
-
-def near_pairs(g: np.ndarray, part: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of rows of one group (``g``, in order) that may be linked: of
-    different components and, where parts are given (0 and more), of different
-    parts, each at a place from which their sets can share enough, and with
-    bitmaps that differ in no more bits than linked sets do in elements."""
+        scratch.drop(pairs)
+        if step != "all":
+            known = join_counted(open_, comps.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
+            left = settle(known.withColumn("comp", F.coalesce("root", "node")))
+            scratch.drop(open_)
+            open_ = left
+            scratch.free()
+            if open_.isEmpty():
+                break
+    scratch.drop(texts, open_)
+    return comps
+
+
+def near_pairs(g: np.ndarray, part: np.ndarray, comp: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of rows of one group (``g``, in order) that may be linked, and the
+    bits in which they differ: rows of different components and, where parts are
+    given (0 and more), of different parts, each at a place from which their sets
+    can share enough, and with bitmaps that differ in no more bits than linked
+    sets do in elements."""
     at = np.arange(len(g))
     for d in range(1, len(g)):
         at = at[at + d < len(g)]
@@ -153,43 +179,81 @@ def near_pairs(g: np.ndarray, part: np.ndarray, comp: np.ndarray, size: np.ndarr
         for lo in range(0, len(at), 100_000):
             i = at[lo : lo + 100_000]
             j = i + d
-            both = size[i] + size[j]
-            overlap = -(-both * num // (num + den))
-            ok = (comp[i] != comp[j]) & ((part[i] != part[j]) | (part[i] < 0)) & (np.minimum(size[i], size[j]) >= overlap)
-            ok &= (pos[i] <= size[i] - overlap) & (pos[j] <= size[j] - overlap)
-            i, j, most = i[ok], j[ok], (both - 2 * overlap)[ok]
-            few = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= most
+            least, most = most_apart(size[i], size[j], num, den)
+            ok = (comp[i] != comp[j]) & ((part[i] != part[j]) | (part[i] < 0)) & (np.minimum(size[i], size[j]) >= least)
+            ok &= (pos[i] <= size[i] - least) & (pos[j] <= size[j] - least)
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            few = apart <= most[ok]
             if few.any():
-                yield i[few], j[few]
+                yield i[few], j[few], apart[few]
+
+
+def _first_common(lists: np.ndarray, token: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a pair's token is the first that both rows' sorted lists hold."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 10_000):
+        a, b = lists[i[lo : lo + 10_000]], lists[j[lo : lo + 10_000]]
+        common = (a[:, :, None] == b[:, None, :]).any(2)
+        out[lo : lo + 10_000] = a[np.arange(len(a)), common.argmax(1)] == token[i[lo : lo + 10_000]]
+    return out
 
 
-def _cross_pairs(postings: DataFrame, sketch_of: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scratch: Scratch, lists: bool, nearest: bool) -> DataFrame:
     """Pairs of different components that may be linked, and that have a common
     token among the first ``size - overlap + 1`` of both, ``overlap`` being what
-    sets of these sizes must share.  A token of more than CELL nodes is dealt into
-    parts by the node's hash, and each two parts meet in a cell of their own: no
-    task holds more than about two parts, and only near pairs leave it."""
-    own = scratch.save(sketch_of(postings.select("node").distinct()))
+    sets of these sizes must share; of each node and token only the nearest by
+    sketch if ``nearest``.
+
+    A token of more than CELL nodes is dealt into parts by the node's hash, and
+    each two parts meet in a cell of their own: no task holds more than about two
+    parts, and only near pairs leave it.  With ``lists`` the nodes' tokens, which
+    must be few, come along, and a pair leaves only the first cell that has it."""
+    own = texts.select("node", "size", "sketch")
+    if lists:
+        own = own.join(postings.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "node")
     hot = scratch.save(postings.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select(F.col("token").alias("t"), F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
     rows = join_counted(postings, hot, F.col("token") == F.col("t"), "left")
     rows = rows.withColumn("part", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     # part p meets all others in the cells (p, q) and, with itself, in (p, p)
     rows = rows.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     rows = rows.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part"), "node", "comp", "pos")
-    rows = rows.join(own, "node").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    rows = rows.join(own, "node").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "node", "pos")
     kind = postings.schema["node"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, x, y, part, size, pos = (t[c].to_numpy() for c in ("token", "x", "y", "part", "size", "pos"))
-            new = np.concatenate([[False], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            token, x, y, node, size = (t[c].to_numpy() for c in ("token", "x", "y", "node", "size"))
+            new = (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            again = ~new & (node[1:] == node[:-1]) & (size[1:] == size[:-1])  # lines stand in several chunks
+            if again.any():
+                t = t.filter(pa.array(np.concatenate([[True], ~again])))
+                token, x, y = (t[c].to_numpy() for c in ("token", "x", "y"))
+                new = (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            part, size, pos = (t[c].to_numpy().astype(np.int64) for c in ("part", "size", "pos"))
             comp = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
-            bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, WORDS)
-            node = t["node"].combine_chunks()
-            for i, j in near_pairs(np.cumsum(new), part, comp, size.astype(np.int64), pos.astype(np.int64), bits, num, den):
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["p", "q"])
+            if lists:
+                own = t["tokens"].combine_chunks()
+                many = np.diff(own.offsets.to_numpy())
+                table = np.broadcast_to(np.arange(len(many))[:, None], (len(many), many.max())).astype(np.int64)  # no two rows' fillings are alike
+                table[np.arange(many.max()) < many[:, None]] = own.flatten().to_numpy()
+            nodes = t["node"].combine_chunks()
+            best = [np.full(t.num_rows, 1 << 40), np.full(t.num_rows, -1)]
+            for i, j, apart in near_pairs(np.cumsum(np.concatenate([[0], new])), part, comp, size, pos, _bits(t["sketch"]), num, den):
+                if nearest:  # the offset is one, so that i are different, and j are
+                    for one, other in ((i, j), (j, i)):
+                        nearer = apart < best[0][one]
+                        best[0][one[nearer]], best[1][one[nearer]] = apart[nearer], other[nearer]
+                    continue
+                if lists:
+                    first = _first_common(table, token, i, j)
+                    i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], names=["p", "q"])
+            if nearest:
+                i = np.flatnonzero(best[1] >= 0)
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(best[1][i]))], names=["p", "q"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])

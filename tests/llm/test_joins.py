@@ -224,13 +224,17 @@ def test_counted_join(spark, monkeypatch):
 def test_cross_pairs_lose_no_link(spark, monkeypatch, cell):
     monkeypatch.setattr(linking, "CELL", cell)
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    base = np.sort(rng.integers(0, 2**63, 200).astype(np.uint64))
     sets = {k: np.unique(np.concatenate([base[rng.random(200) < 0.93], rng.integers(0, 2**63, 6).astype(np.uint64)])) for k in range(60)}
     sets |= {100 + k: base[:n] for k, n in enumerate((1, 3, 150, 190))}
     rows = [(token, k, k, 1, 0) for token in (1, 2) for k, s in sets.items()]
     postings = spark.createDataFrame(rows, "token long, node long, comp long, need int, pos int")
-    own = spark.createDataFrame([(k, len(s), bytearray(linking.sketch(s))) for k, s in sets.items()], "node long, size int, sketch binary")
-    got = {tuple(r) for r in linking._cross_pairs(postings, lambda nodes: own, 80, 100, Scratch(spark)).collect()}
+    texts = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "node long, said binary")
+    texts = linking._with_sketches(texts, lambda said: [np.frombuffer(raw, np.uint64) for raw in said])
+    pairs = {(lists, near): linking._cross_pairs(postings, texts, 80, 100, Scratch(spark), lists, near).collect() for lists in (False, True) for near in (False, True)}
+    got = {tuple(r) for r in pairs[False, False]}
+    assert got == {tuple(r) for r in pairs[True, False]} and {tuple(r) for r in pairs[True, True]} <= got
+    assert {n for p in pairs[False, True] for n in p} == {n for p in got for n in p}  # each node's nearest is there
     linked = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
     assert linked <= got and len(got) < 0.9 * len(sets) * (len(sets) - 1) / 2
 

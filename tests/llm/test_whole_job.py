@@ -53,8 +53,8 @@ def test_similar_lines_of_different_lengths(docs):
         body = make(n)
         groups.append([body, body * 3, body + body[: n // 2]])
     for group in groups:  # what is promised
-        a = lines.line_set(group[0])
-        assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in map(lines.line_set, group[1:]))
+        a, *rest = lines.line_sets(group)
+        assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in rest)
     rows = [(i, line) for i, line in enumerate(line for g in groups for line in g)]
     got = {(r.doc_id, r.line) for r in lines.repeated_lines(docs(rows)).collect()}
     first = [sum(map(len, groups[:k])) for k in range(len(groups))]
