@@ -7,6 +7,7 @@ the matches themselves, in order, give every match its offset.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import log
 
@@ -106,20 +107,45 @@ def ratio(string: F.Column, model: list[float]) -> F.Column:
     )
 
 
+#: Elements that are scanned at a time.
+BLOCK = 256
+
+
+def _let(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """``use`` of a value that is worked out once; within a lambda, an expression would be for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(items: F.Column, value: Callable[[F.Column], F.Column], merge: Callable[[F.Column, F.Column], F.Column]) -> F.Column:
+    """For each of ``items``, the values of those before it, merged from 0.  Growing
+    an array copies it, so that this goes by blocks: first each block's total, then
+    the running totals, then within the blocks."""
+    grow = lambda part, start, f: F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), f(x)))))
+    block = lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")))
+    totals = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda acc, x: merge(acc, value(x))))
+    within = lambda starts: F.transform(blocks, lambda b: F.slice(grow(block(b), F.get(starts, b), value), F.lit(1), F.least(F.lit(BLOCK), F.size(items) - b * BLOCK)))
+    return F.flatten(_let(grow(totals, F.lit(0), lambda x: x), within))
+
+
 def _matches(text: F.Column, pattern: str) -> F.Column:
     """All matches of a pattern, leftmost first, as (start, string)."""
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.transform(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit")))
-    none = F.array().cast("array<struct<start:int,hit:string>>")
-    gone = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    walk = F.aggregate(
-        F.filter(step, lambda z: z["hit"].isNotNull()),
-        gone,
-        lambda acc, z: F.struct((acc["at"] + z["gap"] + F.length(z["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["gap"]).alias("start"), z["hit"].alias("hit")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), walk).otherwise(none)
+    step = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda z: z["hit"].isNotNull())
+    place = lambda z, before: F.struct((before + z["gap"]).alias("start"), z["hit"].alias("hit"))
+    walk = _let(step, lambda s: F.zip_with(s, _running(s, lambda z: z["gap"] + F.length(z["hit"]), lambda a, b: a + b), place))
+    return F.when(F.rlike(text, F.lit(pattern)), walk).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+
+
+def _apart(spans: F.Column) -> F.Column:
+    """Without the random spans that overlap a base one.  In order of start, a base
+    span that overlaps a random one either ends after its start and stands before,
+    or is next to it: random spans don't overlap."""
+    is_base = lambda s: s["rank"] < len(BASE)
+    reach = lambda s: _running(s, lambda x: F.when(is_base(x), x["end"]).otherwise(0), F.greatest)
+    clear = lambda s, r, x, i: is_base(x) | ((F.get(r, i) <= x["start"]) & ~F.coalesce(is_base(F.get(s, i + 1)) & (F.get(s, i + 1)["start"] < x["end"]), F.lit(False)))
+    return _let(F.array_sort(spans), lambda s: _let(reach(s), lambda r: F.filter(s, lambda x, i: clear(s, r, x, i))))
 
 
 def _long_enough(found: F.Column, pattern: str, group: int, size: int) -> F.Column:
@@ -148,12 +174,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: l
         found = found.withColumn(kind, _long_enough(_matches(F.col("text"), pattern), pattern, group, size))
     found = found.withColumn("random", _matches(F.col("text"), CANDIDATE)).drop("text")
     base = reduce(F.concat, [_spans(k, i, F.col(k)) for i, (k, *_) in enumerate(BASE)])
-    found = found.select("id", base.alias("base"), "random")
-    free = F.filter(
-        _spans("random", len(BASE), F.filter("random", lambda m: F.rlike(m["hit"], F.lit("[0-9]")) & (ratio(m["hit"], model) >= F.greatest(F.lit(least), per_pair * (F.length(m["hit"]) - 1))))),
-        lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return found.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", free)).alias("spans"))
+    odd = F.filter("random", lambda m: F.rlike(m["hit"], F.lit("[0-9]")) & (ratio(m["hit"], model) >= F.greatest(F.lit(least), per_pair * (F.length(m["hit"]) - 1))))
+    found = found.select("id", base.alias("base"), _spans("random", len(BASE), odd).alias("random"))
+    spans = F.when(F.size("random") == 0, F.array_sort("base")).otherwise(_apart(F.concat("base", "random")))
+    return found.select(F.col("id").alias(id_col), spans.alias("spans"))
 
 
 def report(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
