@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.  DataFrame functions only.
 
 Each document of a source is expected to be copied ``target / source size``
-times.  Documents stand in a fixed order within their source (by length, then
+times.  Documents stand in a fixed order within their source (by length class, then
 pseudo-random); the expected copies are prefix-summed along it, one random
 offset per source is added, and a document is emitted once for each integer
 boundary that its step crosses.
@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import BROADCAST_ROWS, Scratch, pick
+from pelorus.llm.common import Scratch, pick
 
 #: About so many rows of a bucket are ordered in one task.
 BUCKET_ROWS = 20_000
-#: The random offset of a source is tried in so many turns of 1/16; the one whose words come nearest to the target stays.
-TURNS = 16
 
 
 def word_count(col: str = "text") -> F.Column:
@@ -60,8 +58,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     One row per row of ``df``: ``id_col``, ``source``, ``size`` (words),
     ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size), and
     the columns named in ``extra``.  Null and empty texts have size 0 and take 0
-    words; null sources are one source, the last; ties of length are ordered by
-    a hash of id; equal rows are interchangeable; a source of no words has
+    words; null sources are one source, the last; within a length class the order is that of a hash
+    of id; equal rows are interchangeable; a source of no words has
     target 0 and 0 copies; an empty table gives an empty table.  Reruns agree.
 
     Rows are ordered in buckets of source, length class and hash slice, so that
@@ -75,10 +73,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("class", _size_class("size"))
     scratch = Scratch(df.sparkSession)
     lean = scratch.save(rows)
-    # a class of n rows is cut in 16^k slices of a k-digit hash prefix
-    classes = lean.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = classes.withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / BUCKET_ROWS) / F.log(F.lit(16.0)))).cast("int"))
-    digits = classes.groupBy().agg(F.max("digits")).first()[0] or 0  # one number: every class is cut alike, so that slices need no join
+    # within a class the order is that of the hash, so that any prefix of it deals the class out and leaves the order as it is
+    classes = lean.groupBy("source", "class").agg(F.count("*").alias("n"))
+    digits = classes.agg(F.max(F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / BUCKET_ROWS) / F.log(F.lit(16.0)))).cast("int"))).first()[0] or 0  # one number: every class is cut alike, so that slices need no join
     lean = lean.withColumn("slice", F.substring("mark", 1, digits) if digits else F.lit(""))
     buckets = scratch.save(lean.groupBy("source", "class", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), most, weights)
@@ -86,27 +83,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("-"))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     steps = buckets.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     steps = steps.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), "before", "source_size", "target", start.alias("start"))
-    within = Window.partitionBy("source", "class", "slice").orderBy("size", "mark", "id")
+    within = Window.partitionBy("source", "class", "slice").orderBy("mark", "id", "size")
     placed = lean.withColumn("at", F.row_number().over(within))
     placed = placed.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("slice") == F.col("l")))
     each = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
-    placed = placed.select("id", "source", "size", "source_size", "target", *keep, (F.col("before") + F.col("at")).alias("place"), each.alias("each"), "start")
-    placed = scratch.save(placed)
+    place = F.col("before") + F.col("at")
+    copies = F.floor(F.col("start") + place * each) - F.floor(F.col("start") + (place - 1) * each)  # boundaries that the document's step crosses
+    placed = placed.withColumn("copies", copies.cast("long"))
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(k).alias(c) for k, c in keep.items()])
 
-    def crossed(k) -> F.Column:
-        shift = F.col("start") + k / 16.0
-        shift = shift - F.floor(shift)
-        return (F.floor(shift + F.col("place") * F.col("each")) - F.floor(shift + (F.col("place") - 1) * F.col("each"))).cast("long")
 
-    tries = placed.groupBy("source").agg(F.max("target").alias("target"), *[F.sum(crossed(k) * F.col("size")).alias(f"t{k}") for k in range(TURNS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(TURNS)]))["k"]
-    turns = scratch.save(tries.select(F.col("source").alias("s"), best.alias("turn")))
-    few = turns.count() <= BROADCAST_ROWS
-    out = placed.join(F.broadcast(turns) if few else turns, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", crossed(F.col("turn")))
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(k).alias(c) for k, c in keep.items()])
-
-
-#: DuckDB SQL of the mix's rows for one slice digit count; documents under 320,000 rows of one length class need none.
+#: DuckDB SQL of the mix's rows.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -127,17 +114,10 @@ goals AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce((SELECT level FROM common) * weight, cap)) END AS target FROM levels),
 placed AS (
   SELECT c.*, g.source_size, g.target,
-         row_number() OVER (PARTITION BY c.source ORDER BY c.class, c.size, c.mark, c.doc_id) AS place,
+         row_number() OVER (PARTITION BY c.source ORDER BY c.class, c.mark, c.doc_id, c.size) AS place,
          CAST(CAST('0x' || substr(md5(coalesce(c.source, '-')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift,
          CASE WHEN g.source_size = 0 THEN 0.0 ELSE g.target / g.source_size END AS each
-  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
-turned AS (
-  SELECT p.*, t.turn, CAST(floor((shift + turn / 16.0::DOUBLE) - floor(shift + turn / 16.0::DOUBLE) + place * each)
-              - floor((shift + turn / 16.0::DOUBLE) - floor(shift + turn / 16.0::DOUBLE) + (place - 1) * each) AS BIGINT) * size AS taken
-  FROM placed p, (SELECT unnest(range(16)) AS turn) t),
-best AS (
-  SELECT source, turn FROM (SELECT source, turn, SUM(taken) AS words, MAX(target) AS target FROM turned GROUP BY source, turn)
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - target), turn) = 1)
-SELECT doc_id, size, source_size, target, taken
-FROM turned t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.turn = b.turn
+  FROM classed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(floor(shift + place * each) - floor(shift + (place - 1) * each) AS BIGINT) * size AS taken
+FROM placed
 """
