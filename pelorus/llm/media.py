@@ -32,7 +32,9 @@ def read_netpbm(raw: bytes) -> np.ndarray:
     w, h = head[:2]
     most = head[2] if len(head) > 2 else 1
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
-    n = int(np.prod(shape))
+    n = w * h * (3 if kind in (b"P3", b"P6") else 1)
+    if n > 8 * len(raw) or not 0 < most < 65536:  # a bit a sample at least
+        raise ValueError("more samples than the file can hold")
     if kind == b"P1":
         digits = re.sub(rb"#[^\n]*|[^01#]", b"", raw[at:])
         return (1 - (np.frombuffer(digits[:n], np.uint8) - 48)).reshape(shape)
@@ -140,7 +142,7 @@ def image_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
             image = decode_media(raw or b"")
             if not image.size:
                 raise ValueError("no samples")
-        except (ValueError, struct.error):
+        except (ValueError, OverflowError, struct.error):
             return None, None, None, None, None
         return image.shape[1], image.shape[0], image.tobytes(), npy_tile(image, tile), difference_hash(image)
 

@@ -140,6 +140,26 @@ def test_licenses(docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_unreadable_media_give_nulls(spark):
+    bad = [b"P5 99999999999999999999 1 255\n\0", b"P2 1 1 255\n300", b"P5 4 4 255\n\0", b"P6 1 1 70000\n\0\0\0", b"P4 999999 999999\n\0", b"BM", b"", None]
+    df = spark.createDataFrame([*enumerate(map(lambda b: b and bytearray(b), bad)), (99, bytearray(b"P5 1 1 255\n\7"))], "doc_id long, media binary")
+    got = {r.doc_id: (r.width, r.samples, r.feature) for r in media.image_features(df).collect()}
+    assert all(got[i] == (None, None, None) for i in range(len(bad))) and got[99][:2] == (1, b"\7")
+
+
+def test_secrets_of_texts_with_many(docs):
+    model = secrets.train(secrets.labelled_samples(docs([]).sparkSession))
+    rng = random.Random(9)
+    free = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(700)]
+    hidden = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(700)]
+    text = " ".join(f"{a} {b} token={a}" for a, b in zip(free, hidden))
+    spans = secrets.scan(docs([(1, text)]), model=model).first().spans
+    base = [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{16,}", text)] + [(m.start(), m.end(), "assign") for m in re.finditer("token=[A-Za-z0-9]+", text)]
+    assert [(s.start, s.end, s.kind) for s in spans if s.kind != "random"] == sorted(base)
+    odd = [(s.start, s.end) for s in spans if s.kind == "random"]
+    assert len(odd) > 600 and all(text[a:b] in free and text[a - 6 : a] != "token=" for a, b in odd)
+
+
 # mixing
 
 
