@@ -1,14 +1,15 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in
 numpy.
 
-A word is the mean of its character n-grams' vectors and a stretch of words the
-mean of its words'; a text is as toxic as its worst stretch.  Misspellings share
-n-grams with what was learned.  The whole model is linear, so that for scoring
-each word comes to one number.
+A word is the mean of its character n-grams' vectors and a text the mean of its
+words', which the softmax reads.  Misspellings share n-grams with what was
+learned.  The whole model is linear, so that for scoring each word comes to one
+number.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash, pick, text_bytes
 
 BUCKETS = 1 << 16
-#: Words of a stretch.
-STRETCH = 8
+#: Harmless texts also count by stretches of so many words, drawn anew each round: any part of one is harmless, and short texts vary most.
+PARTS = (4, 60)
 #: Longer words are taken in pieces of so many characters, which overlap.
 LONGEST, PIECE, OVERLAP = 120, 12, 4
 _WORD = re.compile(r"\w+")
@@ -56,7 +57,7 @@ def grams(word: str) -> list[int]:
 class Trainer:
     """Embeddings and softmax under Adam."""
 
-    def __init__(self, texts: list[str], labels: list[int], width: int = 8, seed: int = 1, floor: float = 0.05):
+    def __init__(self, texts: list[str], labels: list[int], width: int = 8, seed: int = 1, floor: float = 0.001):
         rng = np.random.default_rng(seed)
         vocab: dict[str, int] = {}
         self.docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t in texts]
@@ -65,7 +66,7 @@ class Trainer:
         self.size = np.array([len(x) for x in lists], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.ids = np.fromiter((g for x in lists for g in x), np.int64, int(self.at[-1]))
-        self.emb = rng.normal(0, 0.003, (BUCKETS, width)).astype(np.float32)
+        self.emb = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
         self.soft = rng.normal(0, 1.0, (width, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.state: dict[str, list] = {}
@@ -82,10 +83,6 @@ class Trainer:
             out[lo : lo + 20_000] = np.add.reduceat(self.emb[self.ids[flat]], ends - size, axis=0) / size[:, None]
         return out
 
-    def word_logits(self) -> np.ndarray:
-        v = (self.emb @ (self.soft[:, 1] - self.soft[:, 0])).astype(np.float64)
-        return np.add.reduceat(v[self.ids], self.at[:-1]) / self.size if len(self.ids) else np.zeros(0)
-
     def _adam(self, name: str, value: np.ndarray, grad: np.ndarray, rate: float) -> None:
         m, v = self.state.setdefault(name, [np.zeros_like(value), np.zeros_like(value)])
         m += 0.1 * (grad - m)
@@ -125,54 +122,27 @@ class Trainer:
         self._adam("bias", self.bias, g.sum(0), rate)
         return loss
 
-    def start_from_counts(self, full: list[int], prior: float) -> None:
-        """Embeddings along one direction, by the smoothed log odds of the n-grams among toxic texts; the softmax reads that direction."""
-        seen = np.zeros((2, BUCKETS))
-        for i in full:
-            words = np.unique(self.docs[i])
-            size = self.size[words]
-            flat = self.ids[np.repeat(self.at[words] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            seen[self.y[i], np.unique(flat)] += 1
-        n = np.bincount(self.y[full], minlength=2)[:, None]
-        odds = np.log((seen[1] + prior * n[1] / n.sum()) / n[1]) - np.log((seen[0] + prior * n[0] / n.sum()) / n[0])
-        way = self.soft[:, 1] - self.soft[:, 0]
-        self.emb += (odds[:, None] * way / (way @ way)).astype(np.float32)
-
-    def fit(self, rounds: int = 20, spare: int = 3, rate: float = 0.01, prior: float = 1.0) -> None:
-        """From a start by counts, on each text's worst stretch as the model
-        sees it at the time, and on ``spare`` random stretches of each harmless text."""
-        full = [i for i, d in enumerate(self.docs) if len(d)]
+    def fit(self, rounds: int = 200, batch: int = 600, rate: float = 0.2) -> None:
+        """Embeddings and softmax together, from a random start, on ``batch`` texts
+        a round and a stretch of each of the harmless ones among them."""
+        full = np.array([i for i, d in enumerate(self.docs) if len(d)], np.int64)
         if len(set(self.y[full].tolist())) < 2:
             return
-        self.start_from_counts(full, prior)
         for k in range(rounds):
-            s = self.word_logits()
-            worst, y = [], []
-            for i in full:
-                d = self.docs[i]
-                starts = [worst_stretch(s[d])[1]]
-                if self.y[i] == 0:
-                    starts += self.rng.integers(0, max(1, len(d) - STRETCH + 1), spare).tolist()
-                worst += [d[a : a + STRETCH] for a in starts]
-                y += [self.y[i]] * len(starts)
-            self.learn(worst, np.array(y), rate if k < rounds * 2 // 3 else rate / 4)
+            part = self.rng.permutation(full)[:batch]
+            bags = [self.docs[i] for i in part]
+            for d in [d for d, y in zip(bags, self.y[part]) if y == 0]:
+                n = int(self.rng.integers(*PARTS))
+                at = int(self.rng.integers(0, max(1, len(d) - n + 1)))
+                bags.append(d[at : at + n])
+            y = np.concatenate([self.y[part], np.zeros(len(bags) - len(part), np.int64)])
+            self.learn(bags, y, rate if k < rounds * 2 // 3 else rate / 4)
 
     def model(self) -> tuple[np.ndarray, float]:
         """One number for each n-gram, and the bias."""
         return (self.emb @ (self.soft[:, 1] - self.soft[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def worst_stretch(logits: np.ndarray) -> tuple[float, int]:
-    """The highest mean over ``STRETCH`` words in a row (over all of a shorter text), and where it begins."""
-    n = len(logits)
-    if n <= STRETCH:
-        return (float(logits.mean()) if n else 0.0), 0
-    total = np.concatenate([[0.0], np.cumsum(logits)])
-    runs = total[STRETCH:] - total[:-STRETCH]
-    at = int(runs.argmax())
-    return float(runs[at]) / STRETCH, at
-
-
 class Words(dict):
     """Word to its number, worked out when first met."""
 
@@ -190,16 +160,15 @@ class Words(dict):
 
 
 class Judge:
-    """Score and worst stretch of UTF-8 texts."""
+    """Score of UTF-8 texts, and the place of the word that speaks most for it."""
 
     def __init__(self, value: np.ndarray, bias: float):
         self.known, self.bias = Words(value), bias
 
     def __call__(self, raw: bytes) -> tuple[float, int | None]:
-        words = words_of(decode(raw))
-        z, at = worst_stretch(np.fromiter(map(self.known.__getitem__, words), np.float64, len(words)))
-        p = float(1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40))))
-        return (p, at) if words else (min(p, 0.49), None)
+        z = list(map(self.known.__getitem__, words_of(decode(raw))))
+        p = 1 / (1 + math.exp(-max(-40.0, min(40.0, (sum(z) / len(z) if z else 0.0) + self.bias))))
+        return (p, max(range(len(z)), key=z.__getitem__)) if z else (min(p, 0.49), None)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> DataFrame:
@@ -238,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, float]
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1), ``predicted`` (1 where the score is 0.5 or
-    more) and ``worst`` (the word at which the worst stretch begins, from 0; each
-    piece of a long word counts as one).
+    more) and ``worst`` (the word of the highest logit, from 0, words repeated in a
+    row being one; each piece of a long word counts as one).
     Null, empty and wordless texts get the score of the bias alone, at most
     0.49; repeated rows are kept; an empty table gives an empty table."""
     shared = df.sparkSession.sparkContext.broadcast(model)

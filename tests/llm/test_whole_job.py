@@ -86,8 +86,8 @@ def test_toxic_middle_of_text_without_spaces(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     model = toxicity.fit(docs([(i, text(i % 4 == 0, 60)) for i in range(400)]), labels)
     around = ["".join(rng.choice(calm) for _ in range(60)) for _ in range(2)]
-    middle = "".join(rng.choice(rude) for _ in range(6))
-    rows = [(0, around[0] + around[1]), (1, around[0] + middle + around[1]), (2, "_".join([around[0], *[middle] * 2, around[1]]))]
+    middle = "".join(rng.choice(rude) for _ in range(12))
+    rows = [(0, around[0] + around[1]), (1, around[0] + middle + around[1]), (2, "_".join([around[0], middle, around[1]]))]
     got = {r.doc_id: r.predicted for r in toxicity.score(docs(rows), model).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
     assert [r.doc_id for r in toxicity.keep_harmless(docs(rows), model).collect()] == [0]
