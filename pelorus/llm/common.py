@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the Arrow batches that Python workers get, whatever the length of texts.
+BATCH_BYTES = 8 << 20
 #: Sides of a join are broadcast only when they are counted at up to so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -26,7 +29,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Only the given columns, matched by exact name (first match wins), so that
     extra columns, also ones that differ by case or repeat a name, do no harm.
-    ``renamed`` maps a new name to the name in ``df``."""
+    ``renamed`` maps a new name to the name in ``df``.  All operators come here
+    first, so that this also bounds the bytes of the session's Arrow batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     wanted = {n: n for n in names} | renamed
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     out = []
@@ -84,6 +89,15 @@ def chunks(batches: Iterator[pa.RecordBatch], budget: int = 2_000_000) -> Iterat
                     rows, held = [], 0
         if rows:
             yield rows
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; a Python worker lives on after its
+    task, and would hold what the largest of its tasks needed."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

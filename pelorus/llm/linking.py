@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, components, join_counted
+from pelorus.llm.common import Scratch, components, join_counted, trim
 
 #: Nodes of one token that are compared in one cell; a token with more is dealt into parts, and cells hold two parts each.
 CELL = 2048
@@ -59,6 +59,7 @@ def _with_sketches(texts: DataFrame, sets_of: Callable[[list[bytes]], list[np.nd
                 part = batch.slice(lo, 256)
                 sets = sets_of(part.column("said").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches(sets), pa.binary())], names=["node", "said", "size", "sketch"])
+        trim()
 
     return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
 
@@ -82,17 +83,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[bytes]],
                 sets = dict(zip(once, sets_of(once)))
                 keep[own] = [0 < n <= overlap(sets[a], sets[b]) for n, a, b in zip(least[own].tolist(), x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        trim()
 
     x = texts.select(F.col("node").alias("a"), F.col("said").alias("x"), F.col("size").alias("m"), F.col("sketch").alias("u"))
     y = texts.select(F.col("node").alias("b"), F.col("said").alias("y"), F.col("size").alias("n"), F.col("sketch").alias("v"))
     return scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "m", "u", "y", "n", "v").mapInArrow(exact, pairs.select("a", "b").schema))
 
 
-def _meeting(postings: DataFrame, scratch: Scratch) -> DataFrame:
+def _meeting(postings: DataFrame, scratch: Scratch, many: bool) -> DataFrame:
     """Postings ``(token, node, comp, need, pos)`` of the tokens whose nodes
     lie in several components (without ``comp``: the tokens of several nodes), saved,
     with ``lo`` and ``hi``: the token's first and last ``(comp, node)``.  The extremes are combined before the shuffle, and the
-    join splits a token of very many nodes."""
+    join splits a token of very many nodes; where tokens are ``many``, it shuffles at any size."""
     if "comp" in postings.columns:
         here = F.struct("comp", "node")
         spread = postings.groupBy("token").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo.comp <> hi.comp")
@@ -100,7 +102,8 @@ def _meeting(postings: DataFrame, scratch: Scratch) -> DataFrame:
         ends = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
         spread = ends.select("token", *[F.struct(F.col(k).alias("comp"), F.col(k).alias("node")).alias(n) for n, k in (("lo", "x"), ("hi", "y"))])
         postings = postings.withColumn("comp", F.col("node"))
-    return scratch.save(join_counted(postings, scratch.save(spread), "token", "inner"))
+    spread = scratch.save(spread)
+    return scratch.save(postings.join(spread, "token") if many else join_counted(postings, spread, "token", "inner"))
 
 
 def _able(postings: DataFrame, scratch: Scratch) -> DataFrame:
@@ -137,10 +140,10 @@ def link(postings: DataFrame, read: Callable[[DataFrame], DataFrame], sets_of: C
     columns = ["token", "node", "comp", "need", "pos"]
 
     def settle(known: DataFrame) -> DataFrame:
-        met = _meeting(known.select(*[c for c in columns if c in known.columns]), scratch)
+        met = _meeting(known.select(*[c for c in columns if c in known.columns]), scratch, needs)
         if not needs:
             return met
-        out = _meeting(_able(met, scratch).select(*columns), scratch)
+        out = _meeting(_able(met, scratch).select(*columns), scratch, False)
         scratch.drop(met)
         return out
 
@@ -176,8 +179,8 @@ def near_pairs(g: np.ndarray, part: np.ndarray, comp: np.ndarray, size: np.ndarr
         at = at[g[at] == g[at + d]]
         if not len(at):
             return
-        for lo in range(0, len(at), 100_000):
-            i = at[lo : lo + 100_000]
+        for lo in range(0, len(at), 20_000):
+            i = at[lo : lo + 20_000]
             j = i + d
             least, most = most_apart(size[i], size[j], num, den)
             ok = (comp[i] != comp[j]) & ((part[i] != part[j]) | (part[i] < 0)) & (np.minimum(size[i], size[j]) >= least)
@@ -258,7 +261,7 @@ def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scra
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 40_000:
+            if held.num_rows < 20_000:
                 continue
             token, x, y = (held[c].to_numpy() for c in ("token", "x", "y"))
             last = np.flatnonzero((token != token[-1]) | (x != x[-1]) | (y != y[-1]))
@@ -267,6 +270,7 @@ def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scra
                 held = held.slice(last[-1] + 1)
         if held is not None and held.num_rows:
             yield from compare(held)
+        trim()
 
     near = rows.mapInArrow(run, T.StructType([T.StructField("p", kind), T.StructField("q", kind)]))
     return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()

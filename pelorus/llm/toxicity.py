@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash, pick, text_bytes
+from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash, pick, text_bytes, trim
 
 BUCKETS = 1 << 16
 #: Harmless texts also count by stretches of so many words, drawn anew each round: any part of one is harmless, and short texts vary most.
@@ -60,12 +61,15 @@ class Trainer:
     def __init__(self, texts: list[str], labels: list[int], width: int = 8, seed: int = 1, floor: float = 0.001):
         rng = np.random.default_rng(seed)
         vocab: dict[str, int] = {}
-        self.docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t in texts]
+        self.docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
         self.y = np.array(labels, np.int64)
-        lists = [grams(w) for w in vocab]
-        self.size = np.array([len(x) for x in lists], np.int64)
+        ids, size = array("i"), array("i")
+        for w in vocab:
+            own = grams(w)
+            ids.extend(own)
+            size.append(len(own))
+        self.size, self.ids = np.array(size, np.int64), np.array(ids, np.int32)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.ids = np.fromiter((g for x in lists for g in x), np.int64, int(self.at[-1]))
         self.emb = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
         self.soft = rng.normal(0, 1.0, (width, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
@@ -146,7 +150,7 @@ class Trainer:
 class Words(dict):
     """Word to its number, worked out when first met."""
 
-    def __init__(self, grams_value: np.ndarray, limit: int = 400_000):
+    def __init__(self, grams_value: np.ndarray, limit: int = 200_000):
         super().__init__()
         self.value, self.limit = grams_value.tolist(), limit
 
@@ -197,6 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, float]
             t = Trainer([decode(x) for x, _ in got], [y for _, y in got])
             t.fit()
             value, bias = t.model()
+            del t
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["value", "bias"])
 
     learned = sample(docs, labels, **names).repartition(1).mapInArrow(run, "value binary, bias double").collect()
@@ -236,5 +242,6 @@ def keep_harmless(df: DataFrame, model: tuple[np.ndarray, float], text_col: str
                 part = batch.slice(lo, 256)
                 texts = part.column(at).cast(pa.binary()).to_pylist()
                 yield part.filter(pa.array([judge(t or b"")[0] < 0.5 for t in texts], pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, df.schema)
