@@ -26,7 +26,7 @@ from pelorus.llm.linking import link
 #: Small sets are never larger than this, whatever the costs.
 MOST_SMALL = 24
 #: Tokens of at least so many documents, of those that a chunk has twice, may be ordered last; so many of them, the heaviest, are.  The order changes costs, never results.
-HEAVY_DOCS, HEAVY_TOKENS = 4, 1 << 20
+HEAVY_DOCS, HEAVY_TOKENS = 4, 1 << 19
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
@@ -40,7 +40,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     """64-bit hashes of words, forgotten when ``limit`` are held."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

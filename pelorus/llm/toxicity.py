@@ -150,7 +150,7 @@ class Trainer:
 class Words(dict):
     """Word to its number, worked out when first met."""
 
-    def __init__(self, grams_value: np.ndarray, limit: int = 200_000):
+    def __init__(self, grams_value: np.ndarray, limit: int = 100_000):
         super().__init__()
         self.value, self.limit = grams_value.tolist(), limit
 
