@@ -11,8 +11,9 @@ from __future__ import annotations
 import copy
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelorus import session
@@ -60,7 +61,9 @@ class Database:
         self.data: dict[str, DataFrame] = {}
         self.prepared: dict[str, str] = {}
         self.portals: dict[str, Portal] = {}
-        self._saved: tuple[Catalog, dict[str, DataFrame]] | None = None
+        self._saved: tuple[Catalog, dict[str, DataFrame], dict[str, str]] | None = None
+        self._points: list[tuple[str, tuple]] = []
+        self.views: dict[str, str] = {}
         self._failed = False
         self._version = 0
         jsons.register(spark)
@@ -85,6 +88,10 @@ class Database:
             df = self.spark.read.schema(df.schema).parquet(path)
         self.data[name] = df
         df.createOrReplaceTempView(name)
+        for view, query in self.views.items():  # views read the tables as they are now
+            if view != name and view in self.data:
+                self.data[view] = self._select(query)
+                self.data[view].createOrReplaceTempView(view)
 
     def table(self, name: str) -> DataFrame:
         return self.data[name]
@@ -120,8 +127,12 @@ class Database:
         head = words[0]
         method = getattr(self, f"_{head}", None) if head in ("insert", "update", "delete", "create", "drop", "alter", "comment", "set", "show", "reset", "truncate", "prepare", "execute", "deallocate", "declare", "fetch", "close", "explain") else None
         if head in ("begin", "start"):
-            self._saved = (copy.deepcopy(self.catalog), dict(self.data))
+            self._saved, self._points = self._state(), []
             return Result("BEGIN")
+        if head == "savepoint" and self._saved:
+            self._points.append((_bare(nodes[1]), self._state()))
+        if head in ("rollback", "release") and (words[1] in ("to", "savepoint") or head == "release") and self._saved:
+            return self._to_savepoint(head, _bare(nodes[-1]))
         if head in ("commit", "end", "rollback", "abort"):
             return self._finish(head in ("commit", "end"))
         if head in ("grant", "revoke", "analyze", "vacuum", "reindex", "lock", "discard", "savepoint", "release"):
@@ -146,16 +157,32 @@ class Database:
         named = {f"p{i + 1}": v for i, v in enumerate(params)} if isinstance(params, (list, tuple)) else dict(params)
         return self.spark.sql(text, args={k: v for k, v in named.items() if re.search(rf":{k}\b", text)})
 
+    def _state(self) -> tuple:
+        return copy.deepcopy(self.catalog), dict(self.data), dict(self.views)
+
+    def _restore(self, state: tuple) -> None:
+        for name in self.data.keys() - state[1].keys():
+            self.spark.catalog.dropTempView(name)
+        self.catalog, self.data, self.views = copy.deepcopy(state[0]), dict(state[1]), dict(state[2])
+        for name, df in self.data.items():
+            df.createOrReplaceTempView(name)
+
+    def _to_savepoint(self, head: str, name: str) -> Result:
+        """Back to the last savepoint of the name, which stays, or its release."""
+        at = max((i for i, (n, _) in enumerate(self._points) if n == name), default=None)
+        if at is None:
+            raise ValueError(f'savepoint "{name}" does not exist (3B001)')
+        if head == "rollback":
+            self._restore(self._points[at][1])
+            self._failed = False
+        del self._points[at + (head == "rollback") :]
+        return Result(head.upper())
+
     def _finish(self, keep: bool) -> Result:
         if self._saved and (not keep or self._failed):
-            catalog, data = self._saved
-            for name in self.data.keys() - data.keys():
-                self.spark.catalog.dropTempView(name)
-            self.catalog, self.data = catalog, data
-            for name, df in data.items():
-                df.createOrReplaceTempView(name)
+            self._restore(self._saved)
             keep = False
-        self._saved, self._failed = None, False
+        self._saved, self._failed, self._points = None, False, []
         return Result("COMMIT" if keep else "ROLLBACK")
 
     # changes
@@ -251,8 +278,17 @@ class Database:
         """ON CONFLICT (columns) DO NOTHING or DO UPDATE SET ... EXCLUDED.x."""
         keys = [_bare(c[0]) for c in split(tail[2].inner)] if tail[2].kind == "paren" else next(k.columns for k in t.constraints if k.kind in "pu")
         old = self.data[t.name]
-        fresh = new.join(old.select(*keys), keys, "left_anti").select(*old.columns)
-        if any(n.low == "nothing" for n in tail):
+        # the first of new rows of one key counts; rows with a null in the key never conflict
+        new = session.checkpoint(new.withColumn("_n", F.monotonically_increasing_id()))
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_n"))
+        first = new.where(whole).withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(new.where(~whole)).drop("_n")
+        nothing, new = any(n.low == "nothing" for n in tail), new.drop("_n")
+        if not nothing and first.count() < new.count():
+            raise IntegrityError("ON CONFLICT DO UPDATE command cannot affect row a second time (21000)")
+        fresh = session.checkpoint(first.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+        if nothing:
+            self._keys(t, fresh, old)
             self._put(t.name, old.unionByName(fresh))
             return self._returned("INSERT", fresh, what, t.name)
         k = next(i for i, n in enumerate(tail) if n.low == "set")
@@ -263,7 +299,9 @@ class Database:
         cells = ", ".join(f"CASE WHEN excluded.`{keys[0]}` IS NOT NULL THEN {changes[c]} ELSE {t.name}.`{c}` END AS `{c}`" if c in changes else f"{t.name}.`{c}`" for c in old.columns)
         merged = self.spark.sql(f"SELECT {cells} FROM _old AS {t.name} LEFT JOIN _new AS excluded ON {on}")
         both = merged.unionByName(fresh)
+        both = session.checkpoint(both)
         touched = both.join(new.select(*keys), keys, "left_semi").select(*old.columns)
+        self._keys(t, touched, both.join(new.select(*keys), keys, "left_anti").select(*old.columns))
         self._put(t.name, both)
         return self._returned("INSERT", touched, what, t.name)
 
@@ -290,7 +328,9 @@ class Database:
         write = self.translator().write
         sets = {_bare(p[0]): write(p[2:]) for p in split(part["set"])}
         where = write(part["where"]) if part.get("where") else "true"
-        old.withColumn("_row", F.monotonically_increasing_id()).createOrReplaceTempView("_target")
+        several = part.get("from") or re.search(r"\bselect\b", f"{where} {' '.join(sets.values())}".lower())
+        marked = old.withColumn("_row", F.monotonically_increasing_id())
+        (session.checkpoint(marked) if several else marked).createOrReplaceTempView("_target")  # read twice: its row numbers must stand
         if part.get("from"):
             # the last match of a row counts, as one of several would in any order
             cells = ", ".join(f"{v} AS `_{c}`" for c, v in sets.items())
@@ -299,7 +339,7 @@ class Database:
             for c in sets:
                 base = base.withColumn(c, F.when(F.col("_changed"), F.col(f"_{c}").cast(old.schema[c].dataType)).otherwise(F.col(c)))
             changed = base
-        elif re.search(r"\bselect\b", f"{where} {' '.join(sets.values())}".lower()):
+        elif several:
             cells = ", ".join(f"{v} AS `_{c}`" for c, v in sets.items())
             hit = self._spark_sql(f"SELECT {alias}._row AS _hit, {cells} FROM _target AS {alias} WHERE {where}", params)
             changed = self.spark.table("_target").join(hit, F.col("_row") == F.col("_hit"), "left").withColumn("_changed", F.col("_hit").isNotNull())
@@ -325,8 +365,10 @@ class Database:
         old = self.data[name]
         where = self.translator().write(part["where"]) if part.get("where") else "true"
         marked = old.withColumn("_row", F.monotonically_increasing_id())
+        several = part.get("using") or "select" in where.lower()
+        marked = session.checkpoint(marked) if several else marked  # read twice: its row numbers must stand
         marked.createOrReplaceTempView("_target")
-        if part.get("using") or "select" in where.lower():
+        if several:
             source = f", {self._values_source(part['using'])}" if part.get("using") else ""
             hit = self._spark_sql(f"SELECT DISTINCT {alias}._row FROM _target AS {alias}{source} WHERE {where}", params)
             gone, rest = marked.join(hit, "_row", "left_semi").drop("_row"), marked.join(hit, "_row", "left_anti").drop("_row")
@@ -368,6 +410,8 @@ class Database:
             query = rest[next(i for i, n in enumerate(rest) if n.low == "as") + 1 :]
             df = self._select(_text(query), params)
             self.attach_view(name, df, _text(query))
+            if not params:
+                self.views[name] = _text(query)
             return Result("CREATE VIEW")
         if name in self.catalog.tables:
             if soft:

@@ -138,3 +138,43 @@ def test_domain_errors(db, sql):
 )
 def test_values(db, sql, value):
     assert db.sql(sql).first()[0] == value
+
+
+@pytest.fixture
+def store(spark):
+    db = Database(spark)
+    db.execute("CREATE TABLE kv (k integer PRIMARY KEY, v text UNIQUE)")
+    return db
+
+
+def kv(db):
+    return sorted(tuple(r) for r in db.sql("SELECT k, v FROM kv").collect())
+
+
+def test_conflicts_within_one_statement(store):
+    store.execute("INSERT INTO kv VALUES (1, 'a'), (1, 'b'), (2, 'c') ON CONFLICT (k) DO NOTHING")
+    assert kv(store) == [(1, "a"), (2, "c")]
+    store.execute("INSERT INTO kv VALUES (2, 'd'), (3, 'e') ON CONFLICT (k) DO UPDATE SET v = excluded.v")
+    assert kv(store) == [(1, "a"), (2, "d"), (3, "e")]
+    with pytest.raises(ValueError, match="second time"):
+        store.execute("INSERT INTO kv VALUES (4, 'x'), (4, 'y') ON CONFLICT (k) DO UPDATE SET v = excluded.v")
+    with pytest.raises(ValueError, match="unique"):
+        store.execute("INSERT INTO kv VALUES (5, 'a') ON CONFLICT (k) DO NOTHING")
+    assert kv(store) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_views_read_tables_as_they_are(store):
+    store.execute("INSERT INTO kv VALUES (1, 'a')")
+    store.execute("CREATE VIEW big AS SELECT k FROM kv WHERE k > 0; CREATE VIEW bigger AS SELECT k + 1 AS n FROM big")
+    store.execute("INSERT INTO kv VALUES (7, 'b')")
+    assert sorted(r[0] for r in store.sql("SELECT n FROM bigger").collect()) == [2, 8]
+
+
+def test_savepoints(store):
+    store.execute("BEGIN; INSERT INTO kv VALUES (1, 'a'); SAVEPOINT one; INSERT INTO kv VALUES (2, 'b'); SAVEPOINT two; INSERT INTO kv VALUES (3, 'c')")
+    store.execute("ROLLBACK TO SAVEPOINT one")
+    assert kv(store) == [(1, "a")]
+    with pytest.raises(ValueError, match="does not exist"):
+        store.execute("ROLLBACK TO two")
+    store.execute("ROLLBACK TO one; INSERT INTO kv VALUES (4, 'd'); RELEASE SAVEPOINT one; COMMIT")
+    assert kv(store) == [(1, "a"), (4, "d")]
