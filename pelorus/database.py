@@ -13,12 +13,13 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelorus import session
 from pelorus.catalog import Catalog, Column, Constraint, Table
-from pelorus.dialect import Node, Translator, literal, nest, split, statements, tokens
+from pelorus.dialect import Node, Translator, Typed, literal, nest, split, statements, tokens
 from pelorus.functions import jsons
 from pelorus.sources.tables import Portal
 from pelorus.types import PgType, array_literal
@@ -64,6 +65,7 @@ class Database:
         self._saved: tuple[Catalog, dict[str, DataFrame], dict[str, str]] | None = None
         self._points: list[tuple[str, tuple]] = []
         self.views: dict[str, str] = {}
+        self._typed = Typed()
         self._failed = False
         self._version = 0
         jsons.register(spark)
@@ -142,16 +144,26 @@ class Database:
         return Result("SELECT", self._select(text, params))
 
     def translator(self) -> Translator:
-        return Translator(self.catalog.kind_of, self.catalog.labels)
+        return Translator(self.catalog.kind_of, self.catalog.labels, self._typed)
 
     def _select(self, text: str, params=None) -> DataFrame:
         low = text.lower()
         for name in self.catalog.relations() if "pg_" in low or "information_schema" in low else ():
             if name.replace("information_schema_", "information_schema.") in low or name in low:
                 self.catalog.frame(self.spark, name).createOrReplaceTempView(name)
-        return self._spark_sql(self.translator().translate(text), params)
+        return self._spark_sql(self.translator().write(nest(tokens(text))), params)
 
     def _spark_sql(self, text: str, params=None) -> DataFrame:
+        """Translated text, operators that depend on types written out."""
+        return self._run_sql(self._typed.resolve(text, lambda probe: self._analysed(probe, params)), params)
+
+    def _analysed(self, text: str, params) -> str:
+        try:
+            return self._run_sql(text, params)._jdf.queryExecution().analyzed().toJSON()
+        except AnalysisException:  # the statement itself will tell
+            return ""
+
+    def _run_sql(self, text: str, params) -> DataFrame:
         if not params:
             return self.spark.sql(text)
         named = {f"p{i + 1}": v for i, v in enumerate(params)} if isinstance(params, (list, tuple)) else dict(params)
@@ -195,7 +207,7 @@ class Database:
         if what is None:
             return Result(tag)
         rows.createOrReplaceTempView("_returned")
-        return Result(tag, self.spark.sql(f"SELECT {self.translator().write(what)} FROM _returned AS {alias}"))
+        return Result(tag, self._spark_sql(f"SELECT {self.translator().write(what)} FROM _returned AS {alias}"))
 
     def _insert(self, nodes: list[Node], params) -> Result:
         nodes, what = self._returning(nodes)
@@ -245,11 +257,11 @@ class Database:
                 start = t.next_serial.get(c.name, 1)
                 checked = f"CAST(row_number() OVER (ORDER BY monotonically_increasing_id()) + {start - 1} AS {c.type.spark})"
             else:
-                checked = f"CAST({self.translator().translate(c.default) if c.default else 'NULL'} AS {c.type.spark})"
+                checked = f"CAST({self.translator().write(nest(tokens(c.default))) if c.default else 'NULL'} AS {c.type.spark})"
             if c.not_null and not c.serial:
                 checked = f"CASE WHEN ({checked}) IS NULL THEN CAST(raise_error('null value in column \"{c.name}\" violates not-null constraint (23502)') AS {c.type.spark}) ELSE {checked} END"
             out.append(f"{checked} AS `{c.name}`")
-        done = self.spark.sql(f"SELECT {', '.join(out)} FROM _incoming")
+        done = self._spark_sql(f"SELECT {', '.join(out)} FROM _incoming")
         rows = session.checkpoint(done)  # evaluated once: defaults may be random
         for c in t.columns:
             if c.serial:
@@ -258,7 +270,7 @@ class Database:
         for k in t.constraints:
             if k.kind == "c":
                 rows.createOrReplaceTempView("_incoming")
-                if not self.spark.sql(f"SELECT 1 FROM _incoming WHERE NOT ({self.translator().translate(k.check)}) LIMIT 1").isEmpty():
+                if not self._spark_sql(f"SELECT 1 FROM _incoming WHERE NOT ({self.translator().write(nest(tokens(k.check)))}) LIMIT 1").isEmpty():
                     raise IntegrityError(f'new row violates check constraint "{k.name}" (23514)')
         return rows
 
@@ -297,7 +309,7 @@ class Database:
         new.createOrReplaceTempView("_new")
         on = " AND ".join(f"{t.name}.`{c}` = excluded.`{c}`" for c in keys)
         cells = ", ".join(f"CASE WHEN excluded.`{keys[0]}` IS NOT NULL THEN {changes[c]} ELSE {t.name}.`{c}` END AS `{c}`" if c in changes else f"{t.name}.`{c}`" for c in old.columns)
-        merged = self.spark.sql(f"SELECT {cells} FROM _old AS {t.name} LEFT JOIN _new AS excluded ON {on}")
+        merged = self._spark_sql(f"SELECT {cells} FROM _old AS {t.name} LEFT JOIN _new AS excluded ON {on}")
         both = merged.unionByName(fresh)
         both = session.checkpoint(both)
         touched = both.join(new.select(*keys), keys, "left_semi").select(*old.columns)
@@ -328,7 +340,7 @@ class Database:
         write = self.translator().write
         sets = {_bare(p[0]): write(p[2:]) for p in split(part["set"])}
         where = write(part["where"]) if part.get("where") else "true"
-        several = part.get("from") or re.search(r"\bselect\b", f"{where} {' '.join(sets.values())}".lower())
+        several = part.get("from") or re.search(r"\bselect\b", self._typed.render(f"{where} {' '.join(sets.values())}").lower())
         marked = old.withColumn("_row", F.monotonically_increasing_id())
         (session.checkpoint(marked) if several else marked).createOrReplaceTempView("_target")  # read twice: its row numbers must stand
         if part.get("from"):
@@ -365,7 +377,7 @@ class Database:
         old = self.data[name]
         where = self.translator().write(part["where"]) if part.get("where") else "true"
         marked = old.withColumn("_row", F.monotonically_increasing_id())
-        several = part.get("using") or "select" in where.lower()
+        several = part.get("using") or "select" in self._typed.render(where).lower()
         marked = session.checkpoint(marked) if several else marked  # read twice: its row numbers must stand
         marked.createOrReplaceTempView("_target")
         if several:
@@ -608,7 +620,7 @@ class Database:
     def _explain(self, nodes: list[Node], params) -> Result:
         body = nodes[1:] if nodes[1].kind != "paren" else nodes[2:]
         text = self.translator().write([n for n in body if n.low not in ("analyze", "verbose")])
-        return Result("EXPLAIN", self.spark.sql(f"EXPLAIN FORMATTED {text}"))
+        return Result("EXPLAIN", self.spark.sql(f"EXPLAIN FORMATTED {self._typed.resolve(text, lambda probe: self._analysed(probe, None))}"))
 
     def _prepare(self, nodes: list[Node], params) -> Result:
         k = next(i for i, n in enumerate(nodes) if n.low == "as")
@@ -619,7 +631,7 @@ class Database:
         given = params
         if len(nodes) > 2 and nodes[2].kind == "paren":
             shown = ", ".join(self.translator().write(a) for a in split(nodes[2].inner))
-            given = list(self.spark.sql(f"SELECT {shown}").first())
+            given = list(self._spark_sql(f"SELECT {shown}").first())
         return self._run(self.prepared[_bare(nodes[1])], given)
 
     def _deallocate(self, nodes: list[Node], params) -> Result:
