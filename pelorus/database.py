@@ -141,17 +141,46 @@ class Database:
             return Result(head.upper())
         if method:
             return method(nodes, params)
+        if head == "with" and (k := next((i for i, n in enumerate(nodes) if n.low in ("insert", "update", "delete")), None)):
+            return self._with(nodes[:k], nodes[k:], params)
+        for n, call in zip(nodes, nodes[1:]):
+            if n.low == "set_config" and call.kind == "paren" and all(c[0].kind == "text" for c in split(call.inner)[:2]):
+                name, value = (literal(c[0].text) for c in split(call.inner)[:2])
+                self.catalog.settings[name.lower()] = value
         return Result("SELECT", self._select(text, params))
 
     def translator(self) -> Translator:
         return Translator(self.catalog.kind_of, self.catalog.labels, self._typed)
 
     def _select(self, text: str, params=None) -> DataFrame:
-        low = text.lower()
-        for name in self.catalog.relations() if "pg_" in low or "information_schema" in low else ():
+        spark_text = self.translator().write(nest(tokens(text)))
+        self._introspect(f"{text} {self._typed.render(spark_text)}".lower())
+        return self._spark_sql(spark_text, params)
+
+    def _introspect(self, low: str) -> None:
+        """Makes the catalog views that a statement names."""
+        if "pg_" not in low and "information_schema" not in low:
+            return
+        for name in self.catalog.relations():
             if name.replace("information_schema_", "information_schema.") in low or name in low:
                 self.catalog.frame(self.spark, name).createOrReplaceTempView(name)
-        return self._spark_sql(self.translator().write(nest(tokens(text))), params)
+        if re.search(r"\bpg_stats\b", low):
+            self._statistics().createOrReplaceTempView("pg_stats")
+
+    def _statistics(self) -> DataFrame:
+        """pg_stats, from one pass over each table when it is read; as in ANALYZE, a count of
+        distinct values above a tenth of the rows is shown as a negative share of them."""
+        out = self.spark.createDataFrame([], "schemaname string, tablename string, attname string, inherited boolean, null_frac double, n_distinct double")
+        for t in self.catalog.tables.values():
+            df = self.data.get(t.name)
+            if t.kind != "r" or df is None or not df.columns:
+                continue
+            kinds = dict(df.dtypes)
+            cells = [F.struct(F.lit(c).alias("attname"), F.count(F.col(f"`{c}`")).alias("some"), F.lit(None).cast("long").alias("apart") if kinds[c].startswith(("map", "variant")) else F.approx_count_distinct(F.col(f"`{c}`")).alias("apart")) for c in df.columns]
+            rows = df.agg(F.count(F.lit(1)).alias("n"), F.array(*cells).alias("cells")).select("n", F.inline("cells"))
+            share = F.when(F.col("apart") > 0.1 * F.col("n"), -F.least(F.col("apart") / F.col("n"), F.lit(1.0))).otherwise(F.col("apart").cast("double"))
+            out = out.unionByName(rows.where("n > 0").select(F.lit("public").alias("schemaname"), F.lit(t.name).alias("tablename"), "attname", F.lit(False).alias("inherited"), (1 - F.col("some") / F.col("n")).alias("null_frac"), share.alias("n_distinct")))
+        return out
 
     def _spark_sql(self, text: str, params=None) -> DataFrame:
         """Translated text, operators that depend on types written out."""
@@ -235,6 +264,13 @@ class Database:
         self._put(name, self.data[name].unionByName(new))
         return self._returned("INSERT", new, what, name)
 
+    def _with(self, tables: list[Node], change: list[Node], params) -> Result:
+        """WITH ... INSERT INTO t SELECT ...: the common tables go before the SELECT."""
+        k = next((i for i, n in enumerate(change) if n.low == "select"), None)
+        if change[0].low != "insert" or k is None:
+            raise NotImplementedError("WITH before UPDATE or DELETE is not supported; use FROM or USING (0A000)")
+        return self._insert([*change[:k], *tables, *change[k:]], params)
+
     def _value(self, t: Table, name: str, nodes: list[Node], defaults: dict) -> str:
         if len(nodes) == 1 and nodes[0].low == "default":
             return defaults.get(name) or "NULL"
@@ -304,17 +340,18 @@ class Database:
             self._put(t.name, old.unionByName(fresh))
             return self._returned("INSERT", fresh, what, t.name)
         k = next(i for i, n in enumerate(tail) if n.low == "set")
-        changes = {_bare(p[0]): self.translator().write(p[2:]) for p in split(tail[k + 1 :])}
+        part = self._clauses(tail[k:], ("set", "where"))
+        changes = {_bare(p[0]): self.translator().write(p[2:]) for p in split(part["set"])}
+        hit = f"excluded.`{keys[0]}` IS NOT NULL AND coalesce({self.translator().write(part['where']) if part.get('where') else 'true'}, false)"
         old.createOrReplaceTempView("_old")
         new.createOrReplaceTempView("_new")
         on = " AND ".join(f"{t.name}.`{c}` = excluded.`{c}`" for c in keys)
-        cells = ", ".join(f"CASE WHEN excluded.`{keys[0]}` IS NOT NULL THEN {changes[c]} ELSE {t.name}.`{c}` END AS `{c}`" if c in changes else f"{t.name}.`{c}`" for c in old.columns)
-        merged = self._spark_sql(f"SELECT {cells} FROM _old AS {t.name} LEFT JOIN _new AS excluded ON {on}")
-        both = merged.unionByName(fresh)
-        both = session.checkpoint(both)
-        touched = both.join(new.select(*keys), keys, "left_semi").select(*old.columns)
-        self._keys(t, touched, both.join(new.select(*keys), keys, "left_anti").select(*old.columns))
-        self._put(t.name, both)
+        cells = ", ".join(f"CASE WHEN {hit} THEN {changes[c]} ELSE {t.name}.`{c}` END AS `{c}`" if c in changes else f"{t.name}.`{c}`" for c in old.columns)
+        merged = self._spark_sql(f"SELECT {cells}, {hit} AS _hit FROM _old AS {t.name} LEFT JOIN _new AS excluded ON {on}")
+        both = session.checkpoint(merged.unionByName(fresh.withColumn("_hit", F.lit(True))))
+        touched = both.where("_hit").select(*old.columns)
+        self._keys(t, touched, both.where("NOT _hit").select(*old.columns))
+        self._put(t.name, both.select(*old.columns))
         return self._returned("INSERT", touched, what, t.name)
 
     def _clauses(self, nodes: list[Node], marks: tuple[str, ...]) -> dict[str, list[Node]]:

@@ -35,6 +35,8 @@ def extract(field: str, value: str) -> str:
     f = {"years": "year", "isoweek": "week", "timezone": "epoch"}.get(field.strip("'\"` ").lower(), field.strip("'\"` ").lower())
     if f not in FIELDS:
         raise ValueError(f"EXTRACT field {field} is not known")
+    if f == "epoch" and value.lstrip("( ").startswith(("INTERVAL", "make_interval")):
+        value = f"(timestamp_seconds(0) + {value})"
     return f"CAST({FIELDS[f].replace('$1', value)} AS DOUBLE)"
 
 
@@ -55,5 +57,6 @@ TEMPLATES = {
     "pg_timestamp_from_text": {1: "to_timestamp($1)"},
     "pg_date_from_text": {1: "to_date($1)"},
     "pg_time_from_text": {1: "CAST($1 AS TIME(6))"},
+    "datetime": {0: "date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')", 1: "date_format(CASE WHEN CAST($1 AS STRING) = 'now' THEN current_timestamp() ELSE try_cast($1 AS TIMESTAMP) END, 'yyyy-MM-dd HH:mm:ss')"},
     "strftime": {2: "date_format($2, replace(replace(replace(replace(replace(replace($1, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))"},
 }

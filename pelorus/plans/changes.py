@@ -43,6 +43,16 @@ add("ddl_comment", "COMMENT ON TABLE region IS 'parts of the world'; COMMENT ON
 add("catalog_columns", "SELECT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name IN ('region', 'nation')", "SELECT * FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) AS v(table_name, column_name, ordinal_position)", "region nation")
 add("catalog_class", "SELECT c.relname, a.attname FROM pg_catalog.pg_class c JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_namespace n ON n.oid = c.relnamespace WHERE n.nspname = 'public'", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name')) AS v(relname, attname)", "region")
 add("catalog_constraints", "CREATE TABLE p (id int primary key); CREATE TABLE q (id int primary key, p_id int references p (id), n int check (n > 0), u text unique); SELECT conname, contype, consrc FROM pg_constraint", "SELECT * FROM (VALUES ('p_pkey', 'p', 'PRIMARY KEY (id)'), ('q_pkey', 'p', 'PRIMARY KEY (id)'), ('q_p_id_fkey', 'f', 'FOREIGN KEY (p_id) REFERENCES p(id)'), ('q_n_check', 'c', 'CHECK (n > 0)'), ('q_u_key', 'u', 'UNIQUE (u)')) AS v(conname, contype, consrc)", "")
+add("dml_on_conflict_where", "CREATE TABLE kv (k int primary key, v int); INSERT INTO kv VALUES (1, 10), (2, 20); INSERT INTO kv VALUES (1, 99), (2, 7), (3, 3) ON CONFLICT (k) DO UPDATE SET v = excluded.v WHERE excluded.v / 2 > kv.v; SELECT * FROM kv", "SELECT * FROM (VALUES (1, 99), (2, 20), (3, 3)) AS v(k, v)", "")
+add("dml_with_insert", "WITH big AS (SELECT n_nationkey + 100 AS k, n_name FROM nation WHERE n_regionkey = 3) INSERT INTO region (r_regionkey, r_name) SELECT k, n_name FROM big; SELECT * FROM region", "SELECT * FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 3", "region nation")
+add("transaction_savepoint", "BEGIN; DELETE FROM region WHERE r_regionkey = 0; SAVEPOINT a; DELETE FROM region; ROLLBACK TO SAVEPOINT a; COMMIT; SELECT * FROM region", "SELECT * FROM region WHERE r_regionkey <> 0", "region")
+add("ddl_view_follows", "CREATE VIEW low AS SELECT * FROM region WHERE r_regionkey / 2 < 2; INSERT INTO region VALUES (-5, 'NEW'); SELECT * FROM low", "SELECT * FROM region WHERE r_regionkey < 4 UNION ALL SELECT -5, 'NEW'", "region")
+add("catalog_comments", "COMMENT ON TABLE region IS 'parts of the world'; COMMENT ON COLUMN region.r_name IS 'name'; SELECT a.attname, format_type(a.atttypid, a.atttypmod) LIKE '%' AS shown, col_description(a.attrelid, a.attnum) AS about, obj_description('region'::regclass, 'pg_class') AS what FROM pg_attribute a WHERE a.attrelid = 'region'::regclass", "SELECT * FROM (VALUES ('r_regionkey', true, NULL, 'parts of the world'), ('r_name', true, 'name', 'parts of the world')) AS v(attname, shown, about, what)", "region")
+add("catalog_definitions", "CREATE TABLE p (id int primary key, x varchar(5), y numeric(8,3), z text[]); CREATE INDEX px ON p (x); SELECT attname AS name, format_type(atttypid, atttypmod) AS def FROM pg_attribute WHERE attrelid = 'p'::regclass UNION ALL SELECT conname, pg_get_constraintdef(oid) FROM pg_constraint UNION ALL SELECT relname, pg_get_indexdef(oid) FROM pg_class WHERE relkind = 'i'", "SELECT * FROM (VALUES ('id', 'integer'), ('x', 'character varying(5)'), ('y', 'numeric(8,3)'), ('z', 'text[]'), ('p_pkey', 'PRIMARY KEY (id)'), ('px', 'CREATE INDEX px ON p (x)')) AS v(name, def)", "")
+add("catalog_statistics", "SELECT tablename, attname, null_frac FROM pg_stats", "SELECT 'customer' AS tablename, * FROM (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS attname, unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) / count(*) AS null_frac FROM customer)", "customer")
+add("catalog_roles", "SELECT rolname AS name FROM pg_roles UNION ALL SELECT usename FROM pg_user UNION ALL SELECT datname FROM pg_database UNION ALL SELECT spcname FROM pg_tablespace UNION ALL SELECT collname FROM pg_collation UNION ALL SELECT slot_name FROM pg_replication_slots", "SELECT unnest(['postgres', 'public', 'postgres', 'main', 'pg_default', 'pg_global', 'default', 'C', 'POSIX', 'uuid']) AS name", "")
+add("catalog_keys", "CREATE TABLE p (id int primary key); CREATE TABLE q (id int, p_id int references p (id)); SELECT k.table_name, k.column_name, c.constraint_type FROM information_schema.key_column_usage k JOIN information_schema.table_constraints c ON c.constraint_name = k.constraint_name", "SELECT * FROM (VALUES ('p', 'id', 'PRIMARY KEY'), ('q', 'p_id', 'FOREIGN KEY')) AS v(table_name, column_name, constraint_type)", "")
+add("session_set_config", "SELECT set_config('application_name', 'zz', false); SHOW application_name", "SELECT 'zz' AS application_name", "")
 add("session_settings", "SET application_name = 'app'; SHOW application_name", "SELECT 'app' AS application_name", "")
 add("prepared_statement", "PREPARE by_region AS SELECT n_name FROM nation WHERE n_regionkey = $1 AND n_nationkey > $2; EXECUTE by_region(2, 8)", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 8", "nation")
 add("cursor_fetch", "DECLARE c CURSOR FOR SELECT n_nationkey FROM nation ORDER BY n_nationkey; FETCH 3 FROM c; FETCH 4 FROM c", "SELECT n_nationkey::bigint AS n_nationkey FROM nation WHERE n_nationkey BETWEEN 3 AND 6", "nation")

@@ -126,11 +126,31 @@ add("row_to_json", "SELECT row_to_json(t) AS j FROM (SELECT n_nationkey, n_name
 add("uuid_functions", "SELECT is_valid_uuid(u) AS ok, uuid_normalize(u) AS n FROM (VALUES ('A0EEBC99-9C0B-4EF8-BB6D-6BB9BD380A11'), ('nope')) AS v(u)", "SELECT u LIKE 'A0%' AS ok, CASE WHEN u LIKE 'A0%' THEN lower(u) END AS n FROM (VALUES ('A0EEBC99-9C0B-4EF8-BB6D-6BB9BD380A11'), ('nope')) AS v(u)")
 add("system_functions", "SELECT current_database() AS d, current_schema() AS s, pg_size_pretty(123456) AS p, pg_has_role('pg_read_server_files', 'USAGE') AS r, has_table_privilege('pg_class', 'INSERT') AS t, pg_is_in_recovery() AS rec", "SELECT 'main' AS d, 'public' AS s, '120 kB' AS p, false AS r, false AS t, false AS rec")
 
+# more of the library: several functions to a query
+
+add("integer_division", "SELECT o_custkey, (sum(o_orderkey) / 2)::bigint AS half, count(*) / 3 AS third, max(n) / 2 AS top, max(x) / 2 AS real, max(o_shade) / 2 AS shade FROM (SELECT o_custkey, o_orderkey, o_orderkey / 4 AS n, o_totalprice AS x, o_orderkey + 0.5::double precision AS o_shade FROM orders) o GROUP BY o_custkey", "SELECT o_custkey, (sum(o_orderkey) // 2)::bigint AS half, count(*) // 3 AS third, max(n) // 2 AS top, max(x) / 2 AS real, max(o_shade) / 2 AS shade FROM (SELECT o_custkey, o_orderkey, o_orderkey // 4 AS n, o_totalprice AS x, o_orderkey + 0.5::double AS o_shade FROM orders) o GROUP BY o_custkey")
+add("shadowed_division", "SELECT n_nationkey / 2 AS h, n_regionkey / 2 AS r FROM (SELECT n_nationkey + 0.5::double precision AS n_nationkey, n_regionkey FROM nation) t", "SELECT n_nationkey / 2 AS h, (n_regionkey // 2)::bigint AS r FROM (SELECT n_nationkey + 0.5::double AS n_nationkey, n_regionkey FROM nation) t")
+add("date_difference", "SELECT o_orderkey, o_orderdate::date - date '1990-01-01' AS days, (date '2030-12-31' - o_orderdate::date) / 7 AS weeks, o_orderdate::date - date '1990-01-01' + 1 AS later FROM orders", "SELECT o_orderkey, (o_orderdate::date - date '1990-01-01')::int AS days, (date '2030-12-31' - o_orderdate::date) // 7 AS weeks, (o_orderdate::date - date '1990-01-01' + 1)::int AS later FROM orders")
+add("fn_decimals_more", "SELECT o_orderkey, decimal_sub(o_totalprice::numeric(18,2), 1.25)::numeric(20,2)::text AS s, decimal_gt(o_totalprice::numeric(18,2), 100000) AS g, decimal_abs((0 - o_totalprice)::numeric(18,2))::text AS a, decimal_to_text(o_totalprice::numeric(18,2)) AS t, decimal_div(o_totalprice::numeric(18,2), 4)::double precision AS d, numeric_cast(o_orderkey, 12, 2)::text AS c FROM orders", "SELECT o_orderkey, (o_totalprice::numeric(18,2) - 1.25)::numeric(20,2)::varchar AS s, o_totalprice::numeric(18,2) > 100000 AS g, abs((0 - o_totalprice)::numeric(18,2))::varchar AS a, o_totalprice::numeric(18,2)::varchar AS t, o_totalprice::numeric(18,2) / 4 AS d, o_orderkey::numeric(12,2)::varchar AS c FROM orders")
+add("fn_dates_more", "SELECT event_id, to_timestamp(event_id)::timestamp AS t, make_time(1, 2, 3)::text AS m, pg_date_from_text('2024-02-03') AS d, pg_timestamp_from_text('2024-02-03 04:05:06')::timestamp AS p, strftime('%Y-%m', ts) AS f, extract(epoch from interval '1 hour 30 minutes') AS e, datetime('2024-01-02 03:04:05') AS s FROM events", "SELECT event_id, to_timestamp(event_id) AT TIME ZONE 'UTC' AS t, '01:02:03' AS m, date '2024-02-03' AS d, timestamp '2024-02-03 04:05:06' AS p, strftime(ts, '%Y-%m') AS f, 5400.0::double AS e, '2024-01-02 03:04:05' AS s FROM events")
+add("fn_powers_more", "SELECT p_partkey, pow(p_size, 2)::double precision AS p, ceiling(p_retailprice)::bigint AS c, random() < 1 AS r FROM part", "SELECT p_partkey, pow(p_size, 2)::double AS p, ceiling(p_retailprice)::bigint AS c, true AS r FROM part")
+add("json_paths", "SELECT event_id, (props->'k')::text AS j, props#>>'{k}' AS t, (props#>'{k}')::text AS jj, props ?| ARRAY['k', 'z'] AS some, props ?& ARRAY['k', 'z'] AS every, jsonb_typeof(props->'k') AS ty, jsonb_array_length('[1,2]') AS n, '[5,6]'::jsonb->>1 AS a, jsonb_delete_path(props, '{k}') AS gone, json_extract_scalar(props, '$.k') AS x, json_extract_path(props, 'k')::text AS y FROM events", "SELECT event_id, props->>'k' AS j, props->>'k' AS t, props->>'k' AS jj, true AS some, false AS every, 'number' AS ty, 2 AS n, '6' AS a, '{}' AS gone, props->>'k' AS x, props->>'k' AS y FROM events")
+add("json_contained", "SELECT event_id FROM events WHERE props <@ '{\"k\": 7, \"z\": 1}'::jsonb", "SELECT event_id FROM events WHERE (props->>'k')::int = 7")
+add("json_elements", "SELECT e.event_id, x.value FROM events e, json_array_elements('[1, 20]') AS x(value)", "SELECT event_id, unnest(['1', '20']) AS value FROM events")
+add("json_records", "SELECT e.event_id, r.k, r.z FROM events e, jsonb_to_record(e.props) AS r(k int, z text)", "SELECT event_id, (props->>'k')::int AS k, NULL::varchar AS z FROM events")
+add("json_aggregates_more", "SELECT n_regionkey, jsonb_agg(n_name) AS names, array_to_string(array_agg(DISTINCT n_name), '|') AS own FROM (SELECT n_regionkey, min(n_name) AS n_name FROM nation GROUP BY n_regionkey) t GROUP BY n_regionkey", "SELECT n_regionkey, json_group_array(n_name)::varchar AS names, array_to_string(array_agg(DISTINCT n_name), '|') AS own FROM (SELECT n_regionkey, min(n_name) AS n_name FROM nation GROUP BY n_regionkey) t GROUP BY n_regionkey")
+add("system_more", "SELECT current_user AS u, session_user AS s, pg_get_userbyid(10) AS o, has_database_privilege('main', 'CONNECT') AS d, has_schema_privilege('public', 'USAGE') AS c, pg_table_is_visible(1) AS v, inet_client_addr() AS ca, inet_server_port() AS sp, array_to_string(current_schemas(true), ',') AS p, pg_backend_pid() > 0 AS b, version() LIKE 'PostgreSQL%' AS ver, is_valid_uuid(gen_random_uuid()) AS g, current_date = now()::date AS n", "SELECT 'postgres' AS u, 'postgres' AS s, 'postgres' AS o, true AS d, true AS c, true AS v, '127.0.0.1' AS ca, 5432 AS sp, 'pg_catalog,public' AS p, true AS b, true AS ver, true AS g, true AS n")
+add("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey FETCH FIRST 5 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5")
+add("collation", "SELECT c_custkey FROM customer WHERE c_name COLLATE \"C\" < 'Customer#000000100'", "SELECT c_custkey FROM customer WHERE c_name < 'Customer#000000100'")
+add("type_names", "SELECT format_type(23, -1) AS a, format_type(1043, 14) AS b, format_type(1700, 786438) AS c, format_type(1007, -1) AS d, to_regtype('double precision') AS e, to_regtype('nope') AS f, to_regtype('text[]') AS g", "SELECT 'integer' AS a, 'character varying(10)' AS b, 'numeric(12,2)' AS c, 'integer[]' AS d, 701::bigint AS e, NULL::bigint AS f, 1009::bigint AS g")
+
 # full-text search
 
 add("fts_match", "SELECT doc_id FROM documents WHERE to_tsvector('english', text) @@ to_tsquery('english', 'license & !apache')", "WITH w AS (SELECT doc_id, list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS x FROM documents) SELECT doc_id FROM w WHERE list_contains(x, 'license') AND NOT list_contains(x, 'apache')")
 add("fts_phrase", "SELECT doc_id FROM documents WHERE to_tsvector(text) @@ phraseto_tsquery('mit license') OR to_tsvector(text) @@ plainto_tsquery('rights reserved')", "WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: x <> '') AS x FROM documents) SELECT doc_id FROM w WHERE contains(' ' || array_to_string(x, ' ') || ' ', ' mit license ') OR (list_contains(x, 'rights') AND list_contains(x, 'reserved'))")
 
+add("fts_websearch", "SELECT doc_id FROM documents WHERE to_tsvector('english', text) @@ websearch_to_tsquery('english', 'license -apache')", QUERIES["fts_match"][1])
+
 # the flagship: join, group, having, order
 
 FLAGSHIP = "SELECT split_part(c.c_name, '#', 2) AS customer, date_trunc('year', o.o_orderdate)::timestamp AS y, count(*) AS n, round(sum(o.o_totalprice)::numeric(18,4), 2)::double precision AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY total DESC, customer, y LIMIT 100"

@@ -18,6 +18,18 @@ SPARK_TYPES = {
     "regconfig": "STRING", "regclass": "BIGINT", "oid": "BIGINT",
 }
 SERIAL = ("smallserial", "serial", "serial4", "bigserial", "serial8")
+# PostgreSQL's identifiers of types and of their arrays, and the names that format_type shows.
+TYPE_OIDS = {
+    "bool": (16, 1000, "boolean"), "bytea": (17, 1001, "bytea"), "name": (19, 1003, "name"), "int8": (20, 1016, "bigint"), "int2": (21, 1005, "smallint"), "int4": (23, 1007, "integer"), "text": (25, 1009, "text"), "oid": (26, 1028, "oid"),
+    "json": (114, 199, "json"), "cidr": (650, 651, "cidr"), "float4": (700, 1021, "real"), "float8": (701, 1022, "double precision"), "macaddr8": (774, 775, "macaddr8"), "money": (790, 791, "money"), "macaddr": (829, 1040, "macaddr"), "inet": (869, 1041, "inet"),
+    "bpchar": (1042, 1014, "character"), "varchar": (1043, 1015, "character varying"), "date": (1082, 1182, "date"), "time": (1083, 1183, "time without time zone"), "timestamp": (1114, 1115, "timestamp without time zone"), "timestamptz": (1184, 1185, "timestamp with time zone"),
+    "interval": (1186, 1187, "interval"), "timetz": (1266, 1270, "time with time zone"), "bit": (1560, 1561, "bit"), "varbit": (1562, 1563, "bit varying"), "numeric": (1700, 1231, "numeric"), "regclass": (2205, 2210, "regclass"), "uuid": (2950, 2951, "uuid"),
+    "tsvector": (3614, 3643, "tsvector"), "tsquery": (3615, 3645, "tsquery"), "jsonb": (3802, 3807, "jsonb"), "int4range": (3904, 3905, "int4range"), "numrange": (3906, 3907, "numrange"), "int8range": (3926, 3927, "int8range"),
+}
+#: Other spellings of those names.
+TYPE_NAMES = {shown: name for name, (_, _, shown) in TYPE_OIDS.items()} | {
+    "int": "int4", "serial": "int4", "serial4": "int4", "smallserial": "int2", "bigserial": "int8", "serial8": "int8", "decimal": "numeric", "float": "float8", "double": "float8", "char": "bpchar", "string": "text"
+}
 _OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
 # What the text of a checked type looks like.
 PATTERNS = {
@@ -45,6 +57,19 @@ class PgType:
         self.args = [int(x) for x in m[2].split(",")] if m[2] and m[2].strip() else []
         self.depth = m[4].count("[")
 
+    @property
+    def oid(self) -> int | None:
+        """PostgreSQL's identifier, or None where it is no built-in type."""
+        own = TYPE_OIDS.get(TYPE_NAMES.get(self.base, self.base))
+        return None if own is None else own[bool(self.depth)]
+
+    @property
+    def modifier(self) -> int:
+        """atttypmod: a length, or precision and scale, as PostgreSQL packs them."""
+        if not self.args:
+            return -1
+        return ((self.args[0] << 16) + (self.args + [0])[1] if self.base in ("numeric", "decimal") else self.args[0]) + 4
+
     @property
     def scalar(self) -> str:
         if self.base in ("numeric", "decimal"):

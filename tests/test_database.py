@@ -178,3 +178,48 @@ def test_savepoints(store):
         store.execute("ROLLBACK TO two")
     store.execute("ROLLBACK TO one; INSERT INTO kv VALUES (4, 'd'); RELEASE SAVEPOINT one; COMMIT")
     assert kv(store) == [(1, "a"), (4, "d")]
+
+
+@pytest.fixture
+def numbers(spark):
+    db = Database(spark)
+    db.attach("t", spark.sql("SELECT * FROM VALUES (7, 2, date'2020-03-01', date'2020-02-01', 2.5D), (5, 3, date'2021-03-01', date'2020-02-01', 7.5D) AS t(v, k, d, e, f)"))
+    return db
+
+
+@pytest.mark.parametrize(
+    "sql, rows",
+    [
+        ("SELECT max(v) / 2, (k + 6) / 2 FROM t GROUP BY k", [(2, 4), (3, 4)]),
+        ("SELECT sum(v) / 2, count(*) / 3, avg(v) / 2 FROM t", [(6, 0, 3.0)]),
+        ("SELECT a / b FROM (VALUES (7, 2)) AS x(a, b)", [(3,)]),
+        ("SELECT v / 2 FROM (SELECT 2.5::float8 AS v) q", [(1.25,)]),
+        ("SELECT q / 2 FROM (SELECT v / 2 AS q FROM t) x", [(1,), (1,)]),
+        ("SELECT v / 2, count(*) FROM t GROUP BY v / 2", [(2, 1), (3, 1)]),
+        ("SELECT v / 2 * 1.5::float8, v / 2 / 2, -v / 2, f / 2, v / 2 ^ 2 FROM t", [(3.0, 1, -2, 3.75, 1.25), (4.5, 1, -3, 1.25, 1.75)]),
+        ("SELECT sum(v) OVER (PARTITION BY k) / 2, 9 / sum(v) OVER (PARTITION BY k) FROM t", [(2, 1), (3, 1)]),
+        ("SELECT v FROM t WHERE v / 2 = (SELECT max(v / 2) FROM t)", [(7,)]),
+        ("SELECT v / 2 FROM t UNION ALL SELECT f / 2 FROM t", [(1.25,), (2.0,), (3.0,), (3.75,)]),
+        ("SELECT d - e, d - e + 1, v - k, v - k * 2 FROM t", [(29, 30, 5, 3), (394, 395, 2, -1)]),
+    ],
+)
+def test_types_decide_operators(numbers, sql, rows):
+    assert sorted(tuple(r) for r in numbers.sql(sql).collect()) == rows
+
+
+def test_division_in_changes(spark):
+    db = Database(spark)
+    db.execute("CREATE TABLE w (id int, n int DEFAULT 7 / 2, CHECK (n / 2 < 9)); INSERT INTO w (id) VALUES (9 / 2), (1); UPDATE w SET n = (n + 4) / 2 WHERE id / 3 = 1")
+    assert sorted(tuple(r) for r in db.table("w").collect()) == [(1, 3), (4, 3)]
+    assert [tuple(r) for r in db.execute("DELETE FROM w WHERE id / 2 = (SELECT 4 / 2) RETURNING id / 3, n").rows()] == [(1, 3)]
+    with pytest.raises(IntegrityError):
+        db.execute("INSERT INTO w VALUES (1, 18)")
+
+
+def test_statistics_and_names(spark):
+    db = Database(spark)
+    db.execute("CREATE TYPE mood AS ENUM ('a', 'b'); CREATE TABLE p (id int, x text, m mood); INSERT INTO p (id, x) VALUES (1, 'a'), (2, NULL)")
+    assert sorted(tuple(r) for r in db.sql("SELECT attname, null_frac, n_distinct FROM pg_stats").collect()) == [("id", 0.0, -1.0), ("m", 1.0, 0.0), ("x", 0.5, -0.5)]
+    assert [r[0] for r in db.sql("SELECT format_type(atttypid, atttypmod) FROM pg_attribute WHERE attrelid = 'p'::regclass ORDER BY attnum").collect()] == ["integer", "text", "mood"]
+    with pytest.raises(NotImplementedError):
+        db.execute("WITH w AS (SELECT 1 AS k) DELETE FROM p WHERE id IN (SELECT k FROM w)")
