@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import chunks, decode, pick, text_bytes
+from pelorus.llm.common import chunks, decode, lean, pick, text_bytes
 
 # Code points with the property White_Space.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -234,7 +234,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             cols = [pa.array([r[0] for r in rows], out_type), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.binary()), pa.array(at, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "token_ids", "n_tokens", "decoded", "offsets"])
 
-    done = rows.mapInArrow(run, schema)
+    done = rows.mapInArrow(lean(run), schema)
     return done.select(F.col("id").alias(id_col), "token_ids", "n_tokens", *["decoded"] * decoded, *["offsets"] * offsets)
 
 
@@ -259,7 +259,7 @@ def decode_ids(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
             back = [None if x is None else b"".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())) for _, x in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(back, pa.binary())], names=["id", "decoded"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_span(token_ids: bytes, offsets: list[int], words: list[bytes], start: int, stop: int) -> bytes:

@@ -8,7 +8,7 @@ import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of the Arrow batches that Python workers get, whatever the length of texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Sides of a join are broadcast only when they are counted at up to so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -89,12 +89,24 @@ def chunks(batches: Iterator[pa.RecordBatch], budget: int = 2_000_000) -> Iterat
                     rows, held = [], 0
         if rows:
             yield rows
-    trim()
+
+
+def lean(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives its memory back when a task ends and
+    its tables, caches and last batch are gone; a Python worker lives on, and would
+    hold what the largest of its tasks needed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
 
 
 def trim() -> None:
-    """Gives freed memory back to the system; a Python worker lives on after its
-    task, and would hold what the largest of its tasks needed."""
+    """Gives freed memory back to the system: of Python, of Arrow and of the C library."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give:
         give(0)
@@ -205,7 +217,7 @@ def components(edges: DataFrame, scratch: Scratch, few: int = FEW_EDGES, most_ro
                 root = local_roots(at[: len(x)], at[len(x) :], len(names))
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
 
-        done = scratch.save(e.coalesce(1).mapInArrow(join_up, T.StructType([T.StructField("node", kind), T.StructField("root", kind)])))
+        done = scratch.save(e.coalesce(1).mapInArrow(lean(join_up), T.StructType([T.StructField("node", kind), T.StructField("root", kind)])))
         scratch.drop(e)
         return done
     mark = None

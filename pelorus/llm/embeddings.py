@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, components, id_hash, join_counted, local_roots, pick
+from pelorus.llm.common import Scratch, components, id_hash, join_counted, lean, local_roots, pick
 
 #: The rotation and the cells are fitted on at most so many vectors, those of the least hash of their id.
 SAMPLE = 4096
@@ -264,7 +264,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             raw = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(at).astype(np.int32)), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["node", "dim", "digest", "raw"])
 
-    packed = s.save(rows.where(fine & F.col("node").isNotNull()).mapInArrow(pack, packed_schema))
+    packed = s.save(rows.where(fine & F.col("node").isNotNull()).mapInArrow(lean(pack), packed_schema))
     classes = s.save(packed.groupBy("dim", "digest").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
     members = packed.select("node", "dim", "digest").join(classes, ["dim", "digest"]).select("node", "rep", "copies")
     reps = packed.join(classes.withColumnRenamed("rep", "node"), ["dim", "digest", "node"]).groupBy("dim", "node", "digest").agg(F.first("raw").alias("raw"), F.max("copies").alias("copies"))
@@ -286,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int32)), pa.array(np.full(len(at), home)), *part.columns], names=["key", "home", "node", "copies", "raw"])
 
         out_schema = T.StructType([T.StructField("node", id_type), T.StructField("to", id_type), T.StructField("n", T.LongType())])
-        sent = own.select("node", "copies", "raw").mapInArrow(send, routed_schema)
+        sent = own.select("node", "copies", "raw").mapInArrow(lean(send), routed_schema)
         one = sent.groupBy("key").applyInArrow(_join_groups(plan, dim, kind, threshold, out_schema), out_schema)
         found = one if found is None else found.union(one)
     if found is None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, chunks, components, join_counted, pick, text_bytes
+from pelorus.llm.common import BATCH_BYTES, Scratch, chunks, components, join_counted, lean, pick, text_bytes
 from pelorus.llm.linking import link
 
 #: Small sets are never larger than this, whatever the costs.
@@ -125,7 +125,7 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _WordHash()
-            for rows in chunks(batches, 3_000_000):
+            for rows in chunks(batches, BATCH_BYTES):  # one list for a batch, as tokens are counted in each
                 sets = shingle_sets([r[2] for r in rows], n, words)
                 digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
                 one = list({d: s for d, s in zip(digests, sets) if d}.values())
@@ -143,7 +143,7 @@ class Join:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-        return self.docs.mapInArrow(run, T.StructType(fields))
+        return self.docs.mapInArrow(lean(run), T.StructType(fields))
 
     def _heavy(self, survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Heavy tokens, sorted, and their counts."""
@@ -187,7 +187,7 @@ class Join:
                 needs = np.array([shared_need(_ceil(num * len(s), den)) for s in sets], np.int32)  # of the smallest partner
                 yield pa.RecordBatch.from_arrays([_i64(np.concatenate(own)), ids, pa.array(np.repeat(needs, many)), pa.array(np.concatenate(places))], names=[f.name for f in fields])
 
-        return docs.mapInArrow(run, T.StructType(fields))
+        return docs.mapInArrow(lean(run), T.StructType(fields))
 
     def run(self) -> DataFrame:
         s = self.scratch

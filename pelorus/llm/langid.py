@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import chunks, decode, held_out, id_hash, pick, text_bytes
+from pelorus.llm.common import chunks, decode, held_out, id_hash, lean, pick, text_bytes
 
 #: Symbols: no letter, a letter that no sample holds, then the alphabet.
 GAP, RARE = 0, 1
@@ -249,4 +249,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 rate.append(float(own[best] / letters[k]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["id", "lang_pred", "score", "phrases"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

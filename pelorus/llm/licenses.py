@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import chunks, pick, text_bytes
+from pelorus.llm.common import chunks, lean, pick, text_bytes
 
 # Label, notice; words between ^ signs are a mandatory key phrase.
 BASE = [
@@ -128,7 +128,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                 hits.append([(index.labels[t], phrase[t], at, share) for t, at, share in index.scan(words)])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(sizes, pa.int64()), pa.array([[dict(zip(("label", "phrase", "start", "share"), h)) for h in x] for x in hits], kind)], names=["id", "n_words", "hits"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def report(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

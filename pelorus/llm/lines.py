@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, chunks, decode, join_counted, pick, text_bytes
+from pelorus.llm.common import Scratch, chunks, decode, join_counted, lean, pick, text_bytes
 from pelorus.llm.linking import link
 
 #: Characters of a shingle; bands and rows: at similarity 0.8 a pair shares a band in 995 of 1,000 cases.
@@ -176,7 +176,7 @@ class Dedup:
                 bands = pa.array([None if g[3] is None else g[3].view(np.int64) for g in got], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, hashes, pa.array([g[1] for g in got], pa.int32()), pa.array(head), pa.array(nodes), bands], names=[f.name for f in fields])
 
-        return self.docs.mapInArrow(run, T.StructType(fields))
+        return self.docs.mapInArrow(lean(run), T.StructType(fields))
 
     def _read(self, lines: DataFrame, classes: DataFrame):
         """Gives ``(node, said)`` of given nodes, each read again where it first stands; a text is split once for all its lines."""
@@ -194,7 +194,7 @@ class Dedup:
             again = lines.where("head").groupBy("id", "h").count().where("count > 1")
             once = self.docs if again.isEmpty() else self.docs.dropDuplicates(["id", "h"])
             found = join_counted(once, wanted, ["id", "h"], "inner").select("text", "wanted")
-            return found.mapInArrow(said, "node long, said binary")
+            return found.mapInArrow(lean(said), "node long, said binary")
 
         return read
 
@@ -252,7 +252,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: in
                 out.append(mask.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "mask"])
 
-    by_doc = Scratch(df.sparkSession).save(by_doc.mapInArrow(masks, T.StructType([*by_doc.schema, T.StructField("mask", T.BinaryType())])))
+    by_doc = Scratch(df.sparkSession).save(by_doc.mapInArrow(lean(masks), T.StructType([*by_doc.schema, T.StructField("mask", T.BinaryType())])))
     names, at, key = df.columns, df.columns.index(text_col), df.columns.index(id_col)
     while dropped_col.lower() in {n.lower() for n in names}:
         dropped_col += "_"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import Scratch, components, join_counted, trim
+from pelorus.llm.common import Scratch, components, join_counted, lean, trim
 
 #: Nodes of one token that are compared in one cell; a token with more is dealt into parts, and cells hold two parts each.
 CELL = 2048
@@ -61,7 +61,7 @@ def _with_sketches(texts: DataFrame, sets_of: Callable[[list[bytes]], list[np.nd
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches(sets), pa.binary())], names=["node", "said", "size", "sketch"])
         trim()
 
-    return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
+    return texts.mapInArrow(lean(run), T.StructType([*texts.schema, T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -87,7 +87,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[bytes]],
 
     x = texts.select(F.col("node").alias("a"), F.col("said").alias("x"), F.col("size").alias("m"), F.col("sketch").alias("u"))
     y = texts.select(F.col("node").alias("b"), F.col("said").alias("y"), F.col("size").alias("n"), F.col("sketch").alias("v"))
-    return scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "m", "u", "y", "n", "v").mapInArrow(exact, pairs.select("a", "b").schema))
+    return scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "m", "u", "y", "n", "v").mapInArrow(lean(exact), pairs.select("a", "b").schema))
 
 
 def _meeting(postings: DataFrame, scratch: Scratch, many: bool) -> DataFrame:
@@ -272,5 +272,5 @@ def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scra
             yield from compare(held)
         trim()
 
-    near = rows.mapInArrow(run, T.StructType([T.StructField("p", kind), T.StructField("q", kind)]))
+    near = rows.mapInArrow(lean(run), T.StructType([T.StructField("p", kind), T.StructField("q", kind)]))
     return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()

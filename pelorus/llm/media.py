@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import chunks, pick, text_bytes
+from pelorus.llm.common import chunks, lean, pick, text_bytes
 
 _HEADER = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\d+)")
 
@@ -152,7 +152,7 @@ def image_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array(c, k) for c, k in zip(made, kinds))], names=["id", "width", "height", "samples", "tile", "feature"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, tile: int = 32) -> DataFrame:
@@ -170,7 +170,7 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             samples, tiles, marks = zip(*made)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(samples, pa.binary()), pa.array(tiles, pa.binary()), pa.array(marks, pa.string())], names=["id", "n_bytes", "media", "samples", "tile", "feature"])
 
-    return stored.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return stored.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash, pick, text_bytes, trim
+from pelorus.llm.common import BROADCAST_ROWS, chunks, decode, held_out, id_hash, lean, pick, text_bytes, trim
 
 BUCKETS = 1 << 16
 #: Harmless texts also count by stretches of so many words, drawn anew each round: any part of one is harmless, and short texts vary most.
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, float]
             trim()
             yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["value", "bias"])
 
-    learned = sample(docs, labels, **names).repartition(1).mapInArrow(run, "value binary, bias double").collect()
+    learned = sample(docs, labels, **names).repartition(1).mapInArrow(lean(run), "value binary, bias double").collect()
     if not learned:
         return np.zeros(BUCKETS), -1.0
     return np.frombuffer(bytes(learned[0][0]), np.float64), learned[0][1]
@@ -227,7 +227,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id"
             scores, places = zip(*(judge(raw) for _, raw in rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(places, pa.int64())], names=["id", "score", "predicted", "worst"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep_harmless(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
@@ -242,6 +242,5 @@ def keep_harmless(df: DataFrame, model: tuple[np.ndarray, float], text_col: str
                 part = batch.slice(lo, 256)
                 texts = part.column(at).cast(pa.binary()).to_pylist()
                 yield part.filter(pa.array([judge(t or b"")[0] < 0.5 for t in texts], pa.bool_()))
-        trim()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
