@@ -160,9 +160,10 @@ class Scratch:
             self._delete(self.spark, t._scratch_path)
 
     def free(self) -> None:
-        """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark delete the shuffle files of plans that are no longer referenced; those of the last plan need two collections."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     @staticmethod
     def _delete(spark: SparkSession, path: str) -> None:

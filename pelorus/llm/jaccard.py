@@ -208,7 +208,6 @@ class Join:
         words, n = _WordHash(), self.n
         read = lambda nodes: join_counted(docs, nodes, "node", "left_semi").select("node", F.col("text").alias("said"))
         comps = link(postings, read, lambda said: shingle_sets(said, n, words), self.num, self.den, s)
-        s.drop(postings)
         # an id that stands in several classes joins them
         ids = s.save(rows.where("node is not null").groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("node"))
         if not ids.isEmpty():

@@ -90,11 +90,30 @@ def _verify(pairs: DataFrame, texts: DataFrame, sets_of: Callable[[list[bytes]],
     return scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "m", "u", "y", "n", "v").mapInArrow(lean(exact), pairs.select("a", "b").schema))
 
 
-def _meeting(postings: DataFrame, scratch: Scratch, many: bool) -> DataFrame:
+def _shared(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """Postings of the tokens that lie in several components (without ``comp``: of the
+    tokens that stand more than once), saved, for tokens that are many: the join shuffles
+    at any size and splits a token of very many nodes.  Only a token and what tells whether
+    it stays are shuffled to find those, and each shuffle's files go before the next ones are made."""
+    lone = "comp" not in postings.columns  # each node is a component yet
+    if not lone:
+        spread = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    else:
+        spread = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    spread = scratch.save(spread.select("token"))
+    scratch.free()
+    out = postings.join(spread, "token", "left_semi")
+    out = scratch.save(out.withColumn("comp", F.col("node")) if lone else out)
+    scratch.drop(spread)
+    scratch.free()
+    return out
+
+
+def _meeting(postings: DataFrame, scratch: Scratch) -> DataFrame:
     """Postings ``(token, node, comp, need, pos)`` of the tokens whose nodes
     lie in several components (without ``comp``: the tokens of several nodes), saved,
     with ``lo`` and ``hi``: the token's first and last ``(comp, node)``.  The extremes are combined before the shuffle, and the
-    join splits a token of very many nodes; where tokens are ``many``, it shuffles at any size."""
+    join splits a token of very many nodes."""
     if "comp" in postings.columns:
         here = F.struct("comp", "node")
         spread = postings.groupBy("token").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo.comp <> hi.comp")
@@ -103,13 +122,15 @@ def _meeting(postings: DataFrame, scratch: Scratch, many: bool) -> DataFrame:
         spread = ends.select("token", *[F.struct(F.col(k).alias("comp"), F.col(k).alias("node")).alias(n) for n, k in (("lo", "x"), ("hi", "y"))])
         postings = postings.withColumn("comp", F.col("node"))
     spread = scratch.save(spread)
-    return scratch.save(postings.join(spread, "token") if many else join_counted(postings, spread, "token", "inner"))
+    out = scratch.save(join_counted(postings, spread, "token", "inner"))
+    scratch.drop(spread)
+    return out
 
 
 def _able(postings: DataFrame, scratch: Scratch) -> DataFrame:
     """Those postings whose nodes have as many as they need; a node with fewer can join nothing."""
     able = scratch.save(postings.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node"))
-    return join_counted(postings.drop("lo", "hi"), able, "node", "left_semi")
+    return join_counted(postings, able, "node", "left_semi")
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -123,11 +144,12 @@ def _stars(postings: DataFrame) -> DataFrame:
 def link(postings: DataFrame, read: Callable[[DataFrame], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int, scratch: Scratch, needs: bool = True) -> DataFrame:
     """Components ``(node, root)`` of all links among nodes that share tokens.
 
-    ``postings`` are ``(token, node, need, pos)``, read several times: ``need`` is
-    how many tokens a node shares, at least, with any node that it may be linked to
-    (``needs`` says that some need more than one; else a node has few tokens), and
-    ``pos`` the token's place in the node's order, from 0.  ``read`` gives the
-    contents ``(node, said)`` of nodes, and ``sets_of`` the sorted sets of some.
+    ``postings`` are ``(token, node, need, pos)``, read several times (a saved table
+    of them is dropped as soon as that is done): ``need`` is how many tokens a node
+    shares, at least, with any node that it may be linked to (``needs`` says that
+    some need more than one; else a node has few tokens), and ``pos`` the token's
+    place in the node's order, from 0.  ``read`` gives the contents ``(node, said)``
+    of nodes, and ``sets_of`` the sorted sets of some.
 
     First each node is compared with one node that it shares tokens with, so that
     groups of near copies fall together in a number of pairs linear in their size;
@@ -140,14 +162,18 @@ def link(postings: DataFrame, read: Callable[[DataFrame], DataFrame], sets_of: C
     columns = ["token", "node", "comp", "need", "pos"]
 
     def settle(known: DataFrame) -> DataFrame:
-        met = _meeting(known.select(*[c for c in columns if c in known.columns]), scratch, needs)
+        known = known.select(*[c for c in columns if c in known.columns])
         if not needs:
-            return met
-        out = _meeting(_able(met, scratch).select(*columns), scratch, False)
+            return _meeting(known, scratch)
+        met = _shared(known, scratch)
+        out = _meeting(_able(met, scratch).select(*columns), scratch)
         scratch.drop(met)
         return out
 
     open_, edges = settle(postings), None
+    if hasattr(postings, "_scratch_path"):
+        scratch.drop(postings)
+    scratch.free()
     texts = scratch.save(_with_sketches(read(open_.select("node").distinct()), sets_of))
     for step in ("star", "nearest", "all"):
         pairs = scratch.save(_stars(open_) if step == "star" else _cross_pairs(open_.select(*columns), texts, num, den, scratch, not needs, step == "nearest"))
@@ -211,7 +237,8 @@ def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scra
     A token of more than CELL nodes is dealt into parts by the node's hash, and
     each two parts meet in a cell of their own: no task holds more than about two
     parts, and only near pairs leave it.  With ``lists`` the nodes' tokens, which
-    must be few, come along, and a pair leaves only the first cell that has it."""
+    must be few, come along, and a pair leaves only the first cell that has it;
+    without, a node's tokens that stand too late for any partner stay at home."""
     own = texts.select("node", "size", "sketch")
     if lists:
         own = own.join(postings.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "node")
@@ -221,7 +248,10 @@ def _cross_pairs(postings: DataFrame, texts: DataFrame, num: int, den: int, scra
     # part p meets all others in the cells (p, q) and, with itself, in (p, p)
     rows = rows.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     rows = rows.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part"), "node", "comp", "pos")
-    rows = rows.join(own, "node").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "node", "pos")
+    rows = rows.join(own, "node")
+    if not lists:  # the smallest partner of a set shares num / den of it
+        rows = rows.where(F.col("pos").cast("long") * den <= F.col("size").cast("long") * (den - num))
+    rows = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "node", "pos")
     kind = postings.schema["node"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
