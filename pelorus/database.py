@@ -21,6 +21,7 @@ from pelorus import session
 from pelorus.catalog import Catalog, Column, Constraint, Table
 from pelorus.dialect import Node, Translator, Typed, literal, nest, split, statements, tokens
 from pelorus.functions import jsons
+from pelorus.operators import theta
 from pelorus.sources.tables import Portal
 from pelorus.types import PgType, array_literal
 
@@ -155,7 +156,8 @@ class Database:
     def _select(self, text: str, params=None) -> DataFrame:
         spark_text = self.translator().write(nest(tokens(text)))
         self._introspect(f"{text} {self._typed.render(spark_text)}".lower())
-        return self._spark_sql(spark_text, params)
+        df = self._spark_sql(spark_text, params)
+        return theta.counted(df) if "count" in text.lower() and ("<" in text or ">" in text) else df
 
     def _introspect(self, low: str) -> None:
         """Makes the catalog views that a statement names."""
